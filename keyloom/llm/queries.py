@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import overlap
+from keyloom.llm import overlap, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -27,5 +27,38 @@ def p1_links(spark: SparkSession, sf: str) -> DataFrame:
     return overlap.links_per_row(*overlap.overlaps(_t(spark, sf, "mbeir_entry")))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p1_links)}
-SQL: dict[str, str] = {}
+def p2_found(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.torn_entities(_t(spark, sf, "mbeir_entry"), _t(spark, sf, "entity_alias"))
+
+
+def p2_splits(spark: SparkSession, sf: str) -> DataFrame:
+    return splits.row_splits(_t(spark, sf, "mbeir_entry"), _t(spark, sf, "entity_alias"))
+
+
+def p2_components(spark: SparkSession, sf: str) -> DataFrame:
+    rows, parts = splits.split_entities(_t(spark, sf, "mbeir_entry"), _t(spark, sf, "entity_alias"))
+    return parts.select("entity_id", "n_rows", "n_named")
+
+
+_P2_SQL = r"""
+WITH RECURSIVE clean AS (
+  SELECT regexp_replace(upper(regexp_replace(alias_id, '\s+', '', 'g')), '^WD:', '') AS a, regexp_replace(upper(regexp_replace(entity_id, '\s+', '', 'g')), '^WD:', '') AS e, merged_at FROM entity_alias),
+links AS (SELECT a, e FROM clean WHERE a <> e QUALIFY row_number() OVER (PARTITION BY a ORDER BY merged_at DESC NULLS LAST, e) = 1),
+walk AS (SELECT a, e, 1 AS d FROM links UNION ALL SELECT w.a, l.e, d + 1 FROM walk w JOIN links l ON w.e = l.a WHERE d < 64),
+fin AS (SELECT a, arg_max(e, d) AS f FROM walk GROUP BY a),
+src AS (SELECT row_id, query_src_content AS j FROM mbeir_entry WHERE json_valid(query_src_content)),
+ent AS (
+  SELECT row_id, regexp_replace(upper(regexp_replace(json_extract_string(j, '$.entity_id'), '\s+', '', 'g')), '^WD:', '') AS a,
+    lower(regexp_replace(json_extract_string(j, '$.data_split'), '\s+', '', 'g')) AS s FROM src),
+named AS (
+  SELECT row_id, coalesce(f, ent.a) AS entity_id,
+    CASE WHEN s IN ('train', 'training') THEN 'train' WHEN s IN ('val', 'valid', 'validation', 'dev') THEN 'val' WHEN s IN ('test', 'testing') THEN 'test' END AS named
+  FROM ent LEFT JOIN fin ON ent.a = fin.a WHERE ent.a <> ''),
+parts AS (SELECT entity_id, count(*) AS n_rows, CAST(count(DISTINCT named) AS INTEGER) AS n_named FROM named GROUP BY entity_id)
+"""
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p1_links, p2_found, p2_splits, p2_components)}
+SQL: dict[str, str] = {
+    "p2_found": _P2_SQL + "SELECT entity_id FROM parts WHERE n_named >= 2",
+    "p2_components": _P2_SQL + "SELECT * FROM parts",
+}
