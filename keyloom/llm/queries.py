@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from keyloom.llm import overlap, splits
+from keyloom.llm import encoding, leaks, overlap, pieces, splits
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -57,8 +57,40 @@ named AS (
 parts AS (SELECT entity_id, count(*) AS n_rows, CAST(count(DISTINCT named) AS INTEGER) AS n_named FROM named GROUP BY entity_id)
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p1_links, p2_found, p2_splits, p2_components)}
+def p3_found(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.candidate_pieces(_t(spark, sf, "cand_pool")).where("piece_no = 1").select("row_id", "field_name")
+
+
+def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
+    return pieces.candidate_pieces(_t(spark, sf, "cand_pool"))
+
+
+def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
+    return encoding.encoded(_t(spark, sf, "documents"))
+
+
+def p7_found(spark: SparkSession, sf: str) -> DataFrame:
+    return p7_spans(spark, sf).select("doc_id", "item_id")
+
+
+def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.leaked(_t(spark, sf, "documents"), _t(spark, sf, "benchmark"))
+
+
+_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_P3_SQL = rf"""
+WITH src AS (
+  SELECT row_id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(j, '$')) THEN json_extract_string(j, '$')::JSON END ELSE j END AS j
+  FROM (SELECT row_id, src_content::JSON AS j FROM (SELECT row_id, CASE WHEN json_valid(src_content) THEN src_content END AS src_content FROM cand_pool))),
+texts AS (
+  SELECT row_id, 'txt' AS field_name, txt FROM cand_pool
+  UNION ALL SELECT row_id, 'src_content', coalesce(json_extract_string(j, '$.wikipedia_content'), json_extract_string(j, '$.article_text')) FROM src)
+SELECT row_id, field_name FROM texts WHERE length(regexp_replace(regexp_replace(txt, '^{_SPACE}', ''), '{_SPACE}$', '')) > 1000
+"""
+
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p1_links, p2_found, p2_splits, p2_components, p3_found, p3_pieces, p6_ids, p7_found, p7_spans)}
 SQL: dict[str, str] = {
     "p2_found": _P2_SQL + "SELECT entity_id FROM parts WHERE n_named >= 2",
     "p2_components": _P2_SQL + "SELECT * FROM parts",
+    "p3_found": _P3_SQL,
 }

@@ -9,12 +9,15 @@ import unicodedata
 _WORD = re.compile(r"[぀-ヿ㐀-䶿一-鿿]|[^\W_぀-ヿ㐀-䶿一-鿿]+")
 
 
+#: Combining marks of the Latin, Greek and Cyrillic scripts; soft hyphens, zero-width and direction marks, variation selectors.
+_MARKS = re.compile("[\u0300-\u036f\u0483-\u0487\u1ab0-\u1aff\u1dc0-\u1dff\u20d0-\u20ff\ufe20-\ufe2f\u00ad\u034f\u061c\u180e\u200b-\u200f\u202a-\u202e\u2060-\u206f\ufe00-\ufe0f\ufeff]+")
+
+
 def fold(text: str) -> str:
     """Case, accents, invisible characters and Unicode form removed."""
     if text.isascii():
         return text.lower()
-    text = unicodedata.normalize("NFKD", text).casefold()
-    return "".join(c for c in text if not ("̀" <= c and unicodedata.category(c) in ("Mn", "Cf")) and c != "­")
+    return _MARKS.sub("", unicodedata.normalize("NFKD", text).casefold())
 
 
 def words(text: str | None) -> list[str]:
