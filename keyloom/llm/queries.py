@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from keyloom.llm import encoding, leaks, overlap, pieces, splits
+from keyloom.llm import encoding, languages, leaks, neighbours, overlap, pieces, splits
+from keyloom.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -65,6 +67,15 @@ def p3_pieces(spark: SparkSession, sf: str) -> DataFrame:
     return pieces.candidate_pieces(_t(spark, sf, "cand_pool"))
 
 
+def p4_found(spark: SparkSession, sf: str) -> DataFrame:
+    return neighbours.near_pairs(neighbours.neighbours(_t(spark, sf, "mbeir_embedding")))
+
+
+def p4_neighbours(spark: SparkSession, sf: str) -> DataFrame:
+    found = neighbours.neighbours(_t(spark, sf, "mbeir_embedding"))
+    return found.select("vec_id", F.posexplode("found").alias("rank", "f")).select("vec_id", (F.col("rank") + 1).alias("rank"), F.col("f.id").alias("neighbour_id"), "f.cosine")
+
+
 def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
     return encoding.encoded(_t(spark, sf, "documents"))
 
@@ -77,6 +88,20 @@ def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaked(_t(spark, sf, "documents"), _t(spark, sf, "benchmark"))
 
 
+def p8_found(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents")
+    return languages.mislabelled(docs, languages.segments(docs))
+
+
+def p8_segments(spark: SparkSession, sf: str) -> DataFrame:
+    return languages.segments(_t(spark, sf, "documents"))
+
+
+def p8_documents(spark: SparkSession, sf: str) -> DataFrame:
+    docs = _t(spark, sf, "documents")
+    return languages.document_languages(docs, materialize(languages.segments(docs), "p8-segments"))
+
+
 _SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
 _P3_SQL = rf"""
 WITH src AS (
@@ -88,7 +113,13 @@ texts AS (
 SELECT row_id, field_name FROM texts WHERE length(regexp_replace(regexp_replace(txt, '^{_SPACE}', ''), '{_SPACE}$', '')) > 1000
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p1_found, p1_report, p1_links, p2_found, p2_splits, p2_components, p3_found, p3_pieces, p6_ids, p7_found, p7_spans)}
+QUERIES: dict[str, Query] = {
+    f.__name__: f
+    for f in (
+        p1_found, p1_report, p1_links, p2_found, p2_splits, p2_components, p3_found, p3_pieces, p4_found, p4_neighbours,
+        p6_ids, p7_found, p7_spans, p8_found, p8_segments, p8_documents,
+    )
+}
 SQL: dict[str, str] = {
     "p2_found": _P2_SQL + "SELECT entity_id FROM parts WHERE n_named >= 2",
     "p2_components": _P2_SQL + "SELECT * FROM parts",
