@@ -9,10 +9,10 @@ image and words, so copies cost nothing beyond their count. Between classes runs
   at least TAU times either's squared norm. TAU follows from MAX_W2 alone, so no pair is lost;
 * terms are ordered rare first. A class lists terms until the residual's squared norm plus c times the maximum weight is under TAU of the
   whole: two classes over the limit then share more than c listed terms;
-* for images that few records have, c is 0 and a list's key is a term. Where many share an image, or have none, c is 3 (for long texts
+* for images that few records have, c is 0 and a list's key is a term. Where many share an image, or have none, c is 2 (for long texts
   an eighth of the words). There a term that occurs at most RARE times is a key by itself; of the others, a key is a pair in their order, 2 to
-  SPAN words apart. More than c shared terms always hold two single keys or one such pair, so that is asked of a candidate; lists stay
-  short although texts come from few templates;
+  SPAN words apart. More than c shared terms always hold a single key or such a pair, so no list grows without bound;
+* lists carry a 256-bit signature of all terms. Where two meet, more differing bits than texts over the limit can have rule a pair out at once;
 * candidates get their exact dot product, then the exact word edit distance.
 
 Rare-first order needs term counts: those of all rows' word pairs in 2^20 hashed buckets, a table of fixed size.
@@ -41,7 +41,7 @@ TAU = (1 - 2 * SHARE) / (1 - 2 * SHARE + 2 * SHARE * MAX_W2)
 LARGE = 200
 #: Words that may lie between the two terms of a key; SPAN and c = n/8 fit each other: see _listed.
 SPAN = 48
-RARE = 64
+RARE = 2000
 _Q = 255 / (MAX_W2 - 1)
 
 
@@ -88,12 +88,12 @@ def _listed(w2: np.ndarray, large: bool) -> int:
     up to 2.25 n at most, so one is within SPAN in both."""
     n = len(w2) - 1
     rest = np.cumsum(w2[::-1])[::-1]
-    c = 0 if not large else 3 if n <= 32 else -(-n // 8)
+    c = 0 if not large else 2 if n <= 32 else -(-n // 8)
     return int(np.count_nonzero(rest + c * MAX_W2 >= TAU * rest[0] - 1e-6))
 
 
 def _keys(hashes: np.ndarray, at: np.ndarray, rare: np.ndarray) -> np.ndarray:
-    """List keys of the listed terms at these word positions. The lowest bit is set in those that suffice alone."""
+    """List keys of the listed terms at these word positions."""
     order = np.argsort(at[~rare])
     h, p = hashes[~rare][order], at[~rare][order]
     i, j = np.triu_indices(len(h), 1)
@@ -101,8 +101,13 @@ def _keys(hashes: np.ndarray, at: np.ndarray, rare: np.ndarray) -> np.ndarray:
     ok = (gap >= 2) & (gap <= SPAN)
     x = h[i[ok]] * np.uint64(0x9E3779B97F4A7C15) ^ h[j[ok]]
     x ^= x >> np.uint64(31)
-    x *= np.uint64(0xD6E8FEB86659FD93)
-    return np.concatenate([hashes[rare] & np.uint64(0xFFFFFFFFFFFFFFFE), x | np.uint64(1)])
+    return np.concatenate([hashes[rare], x * np.uint64(0xD6E8FEB86659FD93)])
+
+
+def _signature(hashes: np.ndarray) -> np.ndarray:
+    bits = np.zeros(256, np.uint8)
+    bits[hashes >> np.uint64(56)] = 1
+    return np.packbits(bits).view(np.int64)
 
 
 def _vectors(classes: DataFrame, counts: np.ndarray) -> DataFrame:
@@ -113,7 +118,7 @@ def _vectors(classes: DataFrame, counts: np.ndarray) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counted = sent.value
         for b in batches:
-            all_terms, norms, keys = [], [], []
+            all_terms, norms, keys, sigs = [], [], [], []
             for img, norm, large in zip(b["img"], b["norm"], b["large"]):
                 ws = ["", *norm.split(" "), ""] if norm else ["", ""]
                 seen: dict[str, int] = {}
@@ -131,10 +136,11 @@ def _vectors(classes: DataFrame, counts: np.ndarray) -> DataFrame:
                 k = _listed(w2, large)
                 all_terms.append(h.view(np.int64))
                 norms.append(w2.sum())
-                keys.append((_keys(h[:k], order[:k], n[:k] <= RARE) if large else h[:k] | np.uint64(1)).view(np.int64))
-            yield b.drop(columns=["img", "large"]).assign(terms=all_terms, norm2=np.array(norms, np.float32), keys=keys)
+                keys.append((_keys(h[:k], order[:k], n[:k] <= RARE) if large else h[:k]).view(np.int64))
+                sigs.append(_signature(h))
+            yield b.drop(columns=["img", "large"]).assign(terms=all_terms, norm2=np.array(norms, np.float32), keys=keys, sig=sigs)
 
-    return classes.mapInPandas(run, "cid binary, norm string, train boolean, evals boolean, terms array<bigint>, norm2 float, keys array<bigint>")
+    return classes.mapInPandas(run, "cid binary, norm string, train boolean, evals boolean, terms array<bigint>, norm2 float, keys array<bigint>, sig array<bigint>")
 
 
 def _near(a: str, b: str, most: float) -> int:
@@ -167,11 +173,12 @@ def _distance(a: pd.Series, b: pd.Series) -> pd.Series:
 
 def class_pairs(classes: DataFrame) -> DataFrame:
     """cid_t, cid_e, cosine, edits of every near-same pair of classes of which one is in train and the other is not."""
-    lists = classes.select("cid", "train", "evals", F.explode(F.array_distinct("keys")).alias("k"))
-    a = lists.where("train").select("k", F.col("cid").alias("cid_t"))
-    b = lists.where("evals").select("k", F.col("cid").alias("cid_e"))
-    shared = a.join(b, "k").where("cid_t <> cid_e").groupBy("cid_t", "cid_e").agg(F.sum(F.lit(1) + (F.col("k").bitwiseAND(1))).alias("n"))
-    found = shared.where("n >= 2").drop("n")
+    lists = classes.select("cid", "train", "evals", F.size("terms").alias("n"), *(F.col("sig")[i].alias(f"s{i}") for i in range(4)), F.explode(F.array_distinct("keys")).alias("k"))
+    a, b = (lists.where(w).select("k", *(F.col(c).alias(f"{c}_{x}") for c in ("cid", "n", "s0", "s1", "s2", "s3"))) for w, x in (("train", "t"), ("evals", "e")))
+    differ = sum((F.bit_count(F.col(f"s{i}_t").bitwiseXOR(F.col(f"s{i}_e"))) for i in range(4)), F.lit(0))
+    # over the limit, at least 1 - 2 SHARE of the longer text's terms are in both
+    few = differ + 2 * F.ceil((1 - 2 * SHARE) * F.greatest("n_t", "n_e") - 1e-9) <= F.col("n_t") + F.col("n_e")
+    found = a.join(b, (a["k"] == b["k"]) & few & (F.col("cid_t") != F.col("cid_e"))).select("cid_t", "cid_e").distinct()
     side = lambda s: classes.select(F.col("cid").alias(f"cid_{s}"), F.col("norm").alias(f"w_{s}"), F.col("terms").alias(f"x_{s}"), F.col("norm2").alias(f"n_{s}"))
     full = found.join(side("t"), "cid_t").join(side("e"), "cid_e")
     dot = F.expr(f"aggregate(array_intersect(x_t, x_e), 0D, (s, t) -> s + 1 + (t & 255) / {_Q}D)")
