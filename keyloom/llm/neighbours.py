@@ -4,11 +4,12 @@ Vectors are brought to length one, so cosine is inner product. On a bounded samp
 centres by spherical k-means, and score-aware quantisation codebooks: 16 codewords for each pair of dimensions, fitted and assigned under a loss that
 counts the part of the residual that is parallel to the vector ETA times, as only that part shifts the largest inner products.
 
-Every vector is indexed: it goes to its nearest list as four-bit codes, two to a byte. Lists that lie close form cells of about CELL_ROWS vectors, one
-task each. A vector, as a query, is sent to the cells of its nearest lists that together hold PROBE of all vectors, which is mostly
-its own cell. There its table of partial products is scanned against the codes of the cell, about SHORTLIST candidates are kept and
-reranked by their exact cosine; the best of all cells make the result. A list larger than a cell is cut by a hash of the id into several cells, and
-a cell with very many queries takes them in several tasks, so a dense place delays no task.
+Every vector is indexed: it goes to its nearest list as four-bit codes of what it differs from the list's centre by, two to a byte. Lists that lie close
+form a region, of at least CELL_ROWS vectors and at most REGIONS of them. A query searches its own region: the nearest lists there, out of those that
+together hold PROBE of all vectors. A region is one cell, or where it is over CELL_MOST several, and a query is sent to those cells that hold
+lists it searches. Its table of partial products is scanned against the codes there, the SHORTLIST best candidates are reranked by their exact cosine, and
+the best of all cells make the result. A list larger than a cell is cut by a hash of the id into several cells, and a cell of very many queries takes
+them in several tasks, so a dense place delays no task.
 
 Exact copies of a vector are indexed once, with the k + 1 smallest of their ids, and given their neighbours at the end.
 """
@@ -24,16 +25,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from keyloom.storage import materialize
+
 K = 10
 LISTS = 1024
 SAMPLE_PER_LIST = 32
-CELL_ROWS = 16_384
-CELL_MOST = 50_000
-QUERIES_MOST = 100_000
-PROBE = 0.045
-SHORTLIST = 100
+CELL_ROWS = 32_768
+CELL_MOST = 100_000
+QUERIES_MOST = 20_000
+PROBE = 0.1
+REGIONS = 6
+SHORTLIST = 128
+COPIES_BROADCAST = 200_000
 THRESHOLD = 0.2  # the inner product, as a share of the norms, from which on a score's accuracy counts
-_BLOCK = 256
+_BLOCK = 192
 
 
 def usable(c: Column) -> Column:
@@ -68,54 +73,50 @@ def _kmeans(x: np.ndarray, k: int, rounds: int = 10) -> np.ndarray:
 
 @dataclass
 class Codebook:
-    """words[m, j]: codeword j of the m-th pair of dimensions."""
+    """words[m, j]: codeword j of the m-th pair of dimensions, for what a vector differs from its list's centre by."""
 
     words: np.ndarray
 
-    def codes(self, x: np.ndarray, sweeps: int = 1) -> np.ndarray:
-        """Codeword numbers by coordinate descent on |r|^2 + (eta - 1) (r.x)^2, pair by pair."""
-        pairs = x.reshape(len(x), -1, 2)
+    def codes(self, x: np.ndarray, centre: np.ndarray, sweeps: int = 1) -> np.ndarray:
+        """Codeword numbers by coordinate descent on |r|^2 + (eta - 1) (r.x)^2, pair by pair; r is what remains of x - centre."""
+        pairs, along = (x - centre).reshape(len(x), -1, 2), x.reshape(len(x), -1, 2)
         eta = _eta(x.shape[1])
         out = np.empty(pairs.shape[:2], np.uint8)
         par = np.zeros(len(x), np.float32)  # r.x so far
-        parts = np.empty(pairs.shape[:2], np.float32)
-        for sweep in range(sweeps + 1):
+        parts = np.zeros(pairs.shape[:2], np.float32)
+        at = np.arange(len(x))
+        for _ in range(sweeps + 1):
             for m in range(pairs.shape[1]):
-                p, w = pairs[:, m], self.words[m]
-                dot = p @ w.T  # n x 16
-                own = (p * p).sum(axis=1)
-                r2 = own[:, None] - 2 * dot + (w * w).sum(axis=1)[None]
-                rx = own[:, None] - dot
-                if sweep:
-                    par -= parts[:, m]
-                    best = (r2 + (eta - 1) * (par[:, None] + rx) ** 2).argmin(axis=1)
-                else:
-                    best = (r2 + (eta - 1) * rx**2).argmin(axis=1)
+                p, d, w = pairs[:, m], along[:, m], self.words[m]
+                r2 = (w * w).sum(axis=1)[None] - 2 * (p @ w.T)
+                rx = (p * d).sum(axis=1)[:, None] - d @ w.T
+                par -= parts[:, m]
+                best = (r2 + (eta - 1) * (par[:, None] + rx) ** 2).argmin(axis=1)
                 out[:, m] = best
-                parts[:, m] = rx[np.arange(len(x)), best]
+                parts[:, m] = rx[at, best]
                 par += parts[:, m]
         return out
 
 
-def fit_codebook(x: np.ndarray, rounds: int = 5) -> Codebook:
+def fit_codebook(x: np.ndarray, centre: np.ndarray, rounds: int = 4) -> Codebook:
     n, dims = x.shape
-    pairs, eta = x.reshape(n, -1, 2), _eta(dims)
+    eta = _eta(dims)
+    pairs, along = (x - centre).reshape(n, -1, 2), x.reshape(n, -1, 2)
     start = np.linspace(0, n - 1, 16).astype(int)
     book = Codebook(np.stack([p[np.argsort(np.arctan2(p[:, 1], p[:, 0]))][start] for p in pairs.transpose(1, 0, 2)]).astype(np.float32))
     for _ in range(rounds):
-        codes = book.codes(x)
-        chosen = book.words[np.arange(pairs.shape[1])[None], codes]
-        parts = ((pairs - chosen) * pairs).sum(axis=2)
+        codes = book.codes(x, centre)
+        parts = ((pairs - book.words[np.arange(pairs.shape[1])[None], codes]) * along).sum(axis=2)
         rest = parts.sum(axis=1, keepdims=True) - parts
         for m in range(pairs.shape[1]):
-            p, s = pairs[:, m].astype(np.float64), rest[:, m].astype(np.float64)
+            p, d, s = pairs[:, m].astype(np.float64), along[:, m].astype(np.float64), rest[:, m].astype(np.float64)
             for j in range(16):
                 own = codes[:, m] == j
                 if not own.any():
                     continue
-                q, t = p[own], s[own]
-                left = np.eye(2) * len(q) + (eta - 1) * q.T @ q
-                right = q.sum(axis=0) + (eta - 1) * (q * (t + (q * q).sum(axis=1))[:, None]).sum(axis=0)
+                q, e, t = p[own], d[own], s[own]
+                left = np.eye(2) * len(q) + (eta - 1) * e.T @ e
+                right = q.sum(axis=0) + (eta - 1) * (e * (t + (q * e).sum(axis=1))[:, None]).sum(axis=0)
                 book.words[m, j] = np.linalg.solve(left, right)
     return book
 
@@ -124,20 +125,38 @@ def fit_codebook(x: np.ndarray, rounds: int = 5) -> Codebook:
 class Index:
     centres: np.ndarray
     share: np.ndarray  # of all vectors, by list, as estimated on the sample
+    region: np.ndarray  # of each list
     cell: np.ndarray  # first cell of each list
     cuts: np.ndarray  # number of cells that a list is cut into
     tasks: np.ndarray  # by cell: tasks that its queries are spread over
     book: Codebook
     probe: float
+    total: int
 
     def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(nearest list, lists to probe as a mask) of each vector."""
+        """(nearest list, cosine of the last list to probe) of each vector."""
         s = x @ self.centres.T
-        order = np.argsort(-s, axis=1)
+        some = min(s.shape[1], 192)
+        order = np.argpartition(-s, some - 1, axis=1)[:, :some]
+        near = np.take_along_axis(s, order, 1)
+        by = np.argsort(-near, axis=1)
+        order, near = np.take_along_axis(order, by, 1), np.take_along_axis(near, by, 1)
         before = np.cumsum(self.share[order], axis=1) - self.share[order]
-        mask = np.zeros(s.shape, bool)
-        np.put_along_axis(mask, order, before < self.probe, 1)
-        return order[:, 0], mask
+        last = (before < self.probe).sum(axis=1) - 1
+        cut = near[np.arange(len(s)), last]
+        for i in np.flatnonzero((last == some - 1) & (some < s.shape[1])):  # a query that needs more lists than were sorted
+            o = np.argsort(-s[i])
+            got = np.cumsum(self.share[o]) - self.share[o] < self.probe
+            cut[i] = s[i, o[got.sum() - 1]]
+        return order[:, 0], cut
+
+    def asked(self, x: np.ndarray, home: np.ndarray, cut: np.ndarray) -> np.ndarray:
+        """Whether each vector asks each cell."""
+        mask = (x @ self.centres.T >= cut[:, None]) & (self.region[home][:, None] == self.region[None])
+        out = np.zeros((len(x), len(self.tasks)), bool)
+        for k in range(len(self.cell)):
+            out[:, self.cell[k] : self.cell[k] + self.cuts[k]] |= mask[:, k : k + 1]
+        return out
 
 
 def fit(x: np.ndarray, total: int, probe: float = PROBE) -> Index:
@@ -146,7 +165,7 @@ def fit(x: np.ndarray, total: int, probe: float = PROBE) -> Index:
     centres = _kmeans(x, n_lists)
     share = np.bincount((x @ centres.T).argmax(axis=1), minlength=n_lists) / len(x)
     rows = share * total
-    groups = max(1, min(n_lists, round(total / CELL_ROWS)))
+    groups = int(np.clip(total // CELL_ROWS, 1, min(n_lists, REGIONS)))
     near = (centres @ _kmeans(centres, groups).T).argmax(axis=1) if groups > 1 else np.zeros(n_lists, int)
     cell, cuts, at = np.zeros(n_lists, np.int64), np.ones(n_lists, np.int64), 0
     for g in range(groups):
@@ -157,20 +176,17 @@ def fit(x: np.ndarray, total: int, probe: float = PROBE) -> Index:
                 cuts[k] = -(-int(rows[k]) // CELL_MOST)
                 cell[k], at, filled = at, at + cuts[k], 0.0
                 continue
-            if filled and filled + rows[k] > 2 * CELL_ROWS:
+            if filled and filled + rows[k] > CELL_MOST:
                 at, filled = at + 1, 0.0
             cell[k], filled = at, filled + rows[k]
         at += filled > 0 or not (near == g).any()
-    index = Index(centres, share, cell, cuts, np.ones(at + 1, np.int64), fit_codebook(x[: 1 << 14]), probe)
-    asked = np.zeros(at + 1)
-    for mask in (index.lists(x[i : i + 4096])[1] for i in range(0, len(x), 4096)):
-        for c in range(at + 1):
-            asked[c] += mask[:, (cell <= c) & (c < cell + cuts)].any(axis=1).sum()
+    index = Index(centres, share, near, cell, cuts, np.ones(at + 1, np.int64), fit_codebook(x[: 1 << 13], centres[(x[: 1 << 13] @ centres.T).argmax(axis=1)]), probe, total)
+    asked = sum((index.asked(x[i : i + 4096], *index.lists(x[i : i + 4096])).sum(axis=0) for i in range(0, len(x), 4096)), np.zeros(at + 1))
     index.tasks = np.maximum(1, np.ceil(asked / len(x) * total / QUERIES_MOST)).astype(np.int64)
     return index
 
 
-_OUT = "cell int, task int, kind int, id bigint, ids array<bigint>, list int, v binary"
+_OUT = "cell int, task int, kind int, id bigint, ids array<bigint>, list int, cut float, v binary"
 
 
 def _routed(reps: DataFrame, index: Index, dims: int) -> DataFrame:
@@ -188,16 +204,14 @@ def _routed(reps: DataFrame, index: Index, dims: int) -> DataFrame:
             for a in range(0, len(x), 4096):
                 xs, i = x[a : a + 4096], ids[a : a + 4096]
                 raw = [r.tobytes() for r in xs]
-                home, mask = ix.lists(xs)
+                home, cut = ix.lists(xs)
                 cell = ix.cell[home] + i.astype(np.int64) * 0x9E3779B1 % 0x7FFFFFFF % ix.cuts[home]
                 turn = i.astype(np.int64) & 0x7FFFFFFF
                 # kind 0: stored in its cell, in all the cell's tasks; it is a query in one of them
                 copies = ix.tasks[cell]
                 rows0 = np.repeat(np.arange(len(xs)), copies)
                 task0 = np.arange(len(rows0)) - np.repeat(np.cumsum(copies) - copies, copies)
-                asks = np.zeros((len(xs), len(ix.tasks)), bool)
-                for k in range(len(ix.cell)):
-                    asks[:, ix.cell[k] : ix.cell[k] + ix.cuts[k]] |= mask[:, k : k + 1]
+                asks = ix.asked(xs, home, cut)
                 asks[np.arange(len(xs)), cell] = False
                 rows1, cell1 = np.nonzero(asks)
                 row = np.concatenate([rows0, rows1])
@@ -206,37 +220,54 @@ def _routed(reps: DataFrame, index: Index, dims: int) -> DataFrame:
                 kind = np.concatenate([np.zeros(len(rows0), np.int32), np.ones(len(rows1), np.int32)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cells.astype(np.int32)), pa.array(task.astype(np.int32)), pa.array(kind), pa.array(i[row]), lists_of.slice(a, 4096).take(pa.array(row)),
-                     pa.array(home[row].astype(np.int32)), pa.array([raw[r] for r in row], pa.binary())],
-                    names=["cell", "task", "kind", "id", "ids", "list", "v"],
+                     pa.array(home[row].astype(np.int32)), pa.array(cut[row].astype(np.float32)), pa.array([raw[r] for r in row], pa.binary())],
+                    names=["cell", "task", "kind", "id", "ids", "list", "cut", "v"],
                 )
 
     return reps.select("id", "ids", "v").mapInArrow(run, _OUT)
 
 
-def scan(x: np.ndarray, stored: np.ndarray, queries: np.ndarray, book: Codebook, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(query row, stored row, cosine), each query's best first, at most k: table scan of the four-bit codes, exact rerank of the short list."""
-    db = x[stored]
-    codes = book.codes(db)
+def scan(x: np.ndarray, stored: np.ndarray, lists: np.ndarray, queries: np.ndarray, cut: np.ndarray, index: Index, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(query row, stored row, cosine), each query's best first, at most k: table scan of the four-bit codes, exact rerank of the short list.
+
+    stored (rows of x) are sorted by lists, their list numbers. A block of queries scans the lists that any of them probes.
+    """
+    book, all_db = index.book, x[stored]
+    codes = book.codes(all_db, index.centres[lists])
     if codes.shape[1] % 2:
         codes = np.pad(codes, ((0, 0), (0, 1)))
-    both = (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.intp)
-    n, n_bytes = both.shape
+    all_both = (codes[:, ::2] | codes[:, 1::2] << 4).astype(np.intp)
+    n_bytes = all_both.shape[1]
+    held, first = np.unique(lists, return_index=True)
+    ends = np.append(first[1:], len(stored))
+    near = x[queries] @ index.centres[held].T
+    order = np.argsort(near.argmax(axis=1), kind="stable") if len(held) else np.empty(0, int)
+    probed = near[order] >= cut[queries[order], None] - 1e-6
+    queries, near = queries[order], near[order]
     words = book.words if len(book.words) % 2 == 0 else np.concatenate([book.words, np.zeros((1, 16, 2), np.float32)])
-    want = min(n, max(SHORTLIST, 4 * k))
-    step = max(1, n // 4096)
     outs = []
     for a in range(0, len(queries), _BLOCK):
         q = queries[a : a + _BLOCK]
+        use = np.flatnonzero(probed[a : a + _BLOCK].any(axis=0))
+        if not len(use):
+            continue
+        rows = np.concatenate([np.arange(first[u], ends[u]) for u in use])
+        db, both, n = all_db[rows], all_both[rows], len(rows)
+        # of the short list, as much as the block's lists are of all that is probed
+        want = min(n, max(2 * k, int(max(SHORTLIST, 4 * k) * min(1.0, n / (index.probe * index.total)))))
+        step = max(1, n // 2048)
         y = x[q]
         pairs = y.reshape(len(q), -1, 2)
         if pairs.shape[1] < len(words):
             pairs = np.pad(pairs, ((0, 0), (0, 1), (0, 0)))
         part = np.einsum("qmd,mjd->mjq", pairs, words)  # partial products: pair of dimensions, codeword, query
         low = part.min(axis=1, keepdims=True)
-        scale = 2000 / max(float((part - low).max()), 1e-9)  # sixteen-bit sums: 32 tables of at most 2000
-        part = ((part - low) * min(scale, 60000 / max(1e-9, float((part - low).max(axis=1).sum(axis=0).max())))).astype(np.uint16)
+        base = near[a : a + _BLOCK][:, use].T  # list centre times query
+        base = base - base.min(axis=0, keepdims=True)
+        scale = 60000 / max(1e-9, float(((part - low).max(axis=1).sum(axis=0) + base.max(axis=0)).max()))  # sums of sixteen bits
+        part, base = ((part - low) * scale).astype(np.uint16), (base * scale).astype(np.uint16)
         table = (part[1::2, :, None, :] + part[::2, None, :, :]).reshape(n_bytes, 256, len(q))  # by byte: high half, low half
-        acc = np.zeros((n, len(q)), np.uint16)
+        acc = np.repeat(base, ends[use] - first[use], axis=0)
         tmp = np.empty((2048, len(q)), np.uint16)
         for b in range(0, n, 2048):
             c, s = both[b : b + 2048], acc[b : b + 2048]
@@ -248,15 +279,15 @@ def scan(x: np.ndarray, stored: np.ndarray, queries: np.ndarray, book: Codebook,
         seen = acc[::step]
         place = max(0, len(seen) - 1 - -(-want * len(seen) // n))
         limit = np.partition(seen, place, axis=0)[place] if n > want else np.zeros(len(q), np.uint16)
-        r, c = np.nonzero(acc >= limit[None])
+        r, c = np.divmod(np.flatnonzero(acc >= limit[None]), len(q))
         cos = np.einsum("ij,ij->i", db[r], y[c])
-        other = stored[r] != q[c]
+        other = stored[rows[r]] != q[c]
         r, c, cos = r[other], c[other], cos[other]
         order = np.lexsort((r, -cos, c))
         r, c, cos = r[order], c[order], cos[order]
-        first = np.searchsorted(c, np.arange(len(q)))
-        keep = np.arange(len(c)) - first[c] < k
-        outs.append((q[c[keep]], stored[r[keep]], cos[keep]))
+        begin = np.searchsorted(c, np.arange(len(q)))
+        keep = np.arange(len(c)) - begin[c] < k
+        outs.append((q[c[keep]], stored[rows[r[keep]]], cos[keep]))
     return tuple(np.concatenate(z) for z in zip(*outs)) if outs else (np.empty(0, int), np.empty(0, int), np.empty(0, np.float32))
 
 
@@ -273,7 +304,7 @@ def _searched(routed: DataFrame, index: Index, dims: int, k: int) -> DataFrame:
         x = np.frombuffer(b"".join(table.column("v").to_pylist()), np.float32).reshape(-1, dims)
         stored = np.flatnonzero(kind == 0)
         mine = (kind == 1) | ((ids & 0x7FFFFFFF) % ix.tasks[cell] == task)
-        q, r, cos = scan(x, stored, np.flatnonzero(mine), ix.book, k)
+        q, r, cos = scan(x, stored, table.column("list").to_numpy()[stored], np.flatnonzero(mine), table.column("cut").to_numpy(), ix, k)
         lists = table.column("ids").combine_chunks()
         size = np.diff(lists.offsets.to_numpy())[r]
         flat, at = lists.values.to_numpy(), lists.offsets.to_numpy()[r]
@@ -305,22 +336,23 @@ def neighbours(table: DataFrame, k: int = K, id_col: str = "vec_id", vec_col: st
     some = min(1.0, SAMPLE_PER_LIST * max(n_lists, 64) / max(1, total))
     picked = good.where(F.pmod(F.xxhash64("id"), F.lit(1_000_000)) < int(some * 1_000_000)).orderBy("id").select("v").toArrow()
     x = picked["v"].combine_chunks().flatten().to_numpy().reshape(-1, dims) if picked.num_rows else np.eye(1, dims, dtype=np.float32)
-    index = fit(_unit(x), max(1, total), probe if total > 4 * CELL_ROWS // 8 else 1.0)
+    index = fit(_unit(x), max(1, total), probe if total > 8192 else 1.0)
 
     hashed = good.withColumn("h", F.xxhash64("v")).withColumn("h2", F.hash("v"))
     of = Window.partitionBy("h", "h2").orderBy("id")
     # the ids of copies, the k + 1 smallest: rows are cut per group before they are collected
     many = hashed.groupBy("h", "h2").agg(F.count("*").alias("copies")).where("copies > 1")
-    keyed = hashed.join(many, ["h", "h2"], "left")
-    ranked = keyed.where("copies > 1").select("h", "h2", "id", "copies").withColumn("r", F.row_number().over(of)).where(F.col("r") <= k + 1)
-    classes = ranked.groupBy("h", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids"), F.first("copies").alias("copies"))
-    single = keyed.where("copies is null").select("id", F.array("id").alias("ids"), "v")
-    firsts = hashed.join(classes.withColumn("rep", F.col("ids")[0]), ["h", "h2"]).where("id = rep").select("id", "ids", "v")
-    got = _searched(_routed(single.unionByName(firsts), index, dims), index, dims, k)
+    many = materialize(many, "p4-copies")
+    few = many.count() <= COPIES_BROADCAST  # else both joins shuffle
+    light = F.broadcast if few else (lambda df: df)
+    ranked = hashed.select("h", "h2", "id").join(light(many), ["h", "h2"]).withColumn("r", F.row_number().over(of)).where(F.col("r") <= k + 1)
+    classes = materialize(ranked.groupBy("h", "h2").agg(F.sort_array(F.collect_list("id")).alias("ids")), "p4-classes")
+    reps = hashed.join(light(classes), ["h", "h2"], "left").where("ids is null or id = ids[0]").select("id", F.coalesce("ids", F.array("id")).alias("ids"), "v")
+    got = _searched(_routed(reps, index, dims), index, dims, k)
     # the best of all cells; at most as many lists as cells were asked
     best = F.slice(F.array_sort(F.flatten(F.collect_list(F.transform("found", lambda f: F.struct((-f["cosine"]).alias("c"), f["id"].alias("id")))))), 1, k)
     reps = got.groupBy("id").agg(best.alias("near")).select("id", F.transform("near", lambda f: F.struct((-f["c"]).alias("cosine"), f["id"].alias("id"))).alias("near"))
-    members = hashed.select("h", "h2", "id").join(classes, ["h", "h2"]).select(F.col("id").alias("member"), F.col("ids")[0].alias("id"), "ids")
+    members = hashed.select("h", "h2", "id").join(light(classes), ["h", "h2"]).select(F.col("id").alias("member"), F.col("ids")[0].alias("id"), "ids")
     out = reps.join(members, "id", "left")
     own = F.coalesce(F.transform(F.filter("ids", lambda i: i != F.col("member")), lambda i: F.struct(F.lit(1.0).cast("float").alias("cosine"), i.alias("id"))), F.array().cast("array<struct<cosine:float,id:bigint>>"))
     return out.select(F.coalesce("member", "id").alias("vec_id"), F.slice(F.concat(own, "near"), 1, k).alias("found"))
