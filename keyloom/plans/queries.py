@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from keyloom.operators import hotkeys
-from keyloom.plans import retrieval
+from keyloom.plans import records, retrieval
 
 Query = Callable[[SparkSession, str], DataFrame]
 FLAGSHIP = "search_block"
@@ -40,8 +40,8 @@ res AS (
   FROM keys WHERE key_id <> '' GROUP BY ALL)
 """
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_keys)} | retrieval.QUERIES
+QUERIES: dict[str, Query] = {f.__name__: f for f in (p5_found, p5_keys)} | retrieval.QUERIES | records.QUERIES
 SQL: dict[str, str] = {
     "p5_found": _P5_SQL + "SELECT key_kind, key_id FROM res WHERE n_rows >= 0.02 * (SELECT count(*) FROM mbeir_entry)",
     "p5_keys": _P5_SQL + "SELECT * FROM res",
-} | retrieval.SQL
+} | retrieval.SQL | records.SQL
