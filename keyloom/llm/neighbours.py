@@ -6,7 +6,7 @@ counts the part of the residual that is parallel to the vector ETA times, as onl
 
 Every vector is indexed: it goes to its nearest list as four-bit codes of what it differs from the list's centre by, two to a byte. Lists that lie close
 form a region, of at least CELL_ROWS vectors and at most REGIONS of them. A query searches its own region: the nearest lists there, out of those that
-together hold PROBE of all vectors. A region is one cell, or where it is over CELL_MOST several, and a query is sent to those cells that hold
+together hold PROBE of all vectors, and whatever its region those that hold the nearest NEAR of them. A region is one cell, or where it is over CELL_MOST several, and a query is sent to those cells that hold
 lists it searches. Its table of partial products is scanned against the codes there, the SHORTLIST best candidates are reranked by their exact cosine, and
 the best of all cells make the result. A list larger than a cell is cut by a hash of the id into several cells, and a cell of very many queries takes
 them in several tasks, so a dense place delays no task.
@@ -34,6 +34,7 @@ CELL_ROWS = 32_768
 CELL_MOST = 100_000
 QUERIES_MOST = 20_000
 PROBE = 0.1
+NEAR = 0.015
 REGIONS = 6
 SHORTLIST = 128
 COPIES_BROADCAST = 200_000
@@ -133,8 +134,8 @@ class Index:
     probe: float
     total: int
 
-    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(nearest list, cosine of the last list to probe) of each vector."""
+    def lists(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(nearest list, cosine of the last list to probe in its region, and in any) of each vector."""
         s = x @ self.centres.T
         some = min(s.shape[1], 192)
         order = np.argpartition(-s, some - 1, axis=1)[:, :some]
@@ -148,11 +149,13 @@ class Index:
             o = np.argsort(-s[i])
             got = np.cumsum(self.share[o]) - self.share[o] < self.probe
             cut[i] = s[i, o[got.sum() - 1]]
-        return order[:, 0], cut
+        close = (before < NEAR).sum(axis=1) - 1
+        return order[:, 0], cut, np.maximum(cut, near[np.arange(len(s)), close])
 
-    def asked(self, x: np.ndarray, home: np.ndarray, cut: np.ndarray) -> np.ndarray:
+    def asked(self, x: np.ndarray, home: np.ndarray, cut: np.ndarray, close: np.ndarray) -> np.ndarray:
         """Whether each vector asks each cell."""
-        mask = (x @ self.centres.T >= cut[:, None]) & (self.region[home][:, None] == self.region[None])
+        s = x @ self.centres.T
+        mask = (s >= cut[:, None]) & (self.region[home][:, None] == self.region[None]) | (s >= close[:, None])
         out = np.zeros((len(x), len(self.tasks)), bool)
         for k in range(len(self.cell)):
             out[:, self.cell[k] : self.cell[k] + self.cuts[k]] |= mask[:, k : k + 1]
@@ -195,6 +198,9 @@ def _routed(reps: DataFrame, index: Index, dims: int) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ix = sent.value
+        region = np.zeros(len(ix.tasks), np.int64)  # of each cell
+        for c in range(int(ix.cuts.max())):
+            region[np.minimum(ix.cell + c, ix.cell + ix.cuts - 1)] = ix.region
         for b in batches:
             if not b.num_rows:
                 continue
@@ -204,14 +210,14 @@ def _routed(reps: DataFrame, index: Index, dims: int) -> DataFrame:
             for a in range(0, len(x), 4096):
                 xs, i = x[a : a + 4096], ids[a : a + 4096]
                 raw = [r.tobytes() for r in xs]
-                home, cut = ix.lists(xs)
+                home, cut, close = ix.lists(xs)
                 cell = ix.cell[home] + i.astype(np.int64) * 0x9E3779B1 % 0x7FFFFFFF % ix.cuts[home]
                 turn = i.astype(np.int64) & 0x7FFFFFFF
                 # kind 0: stored in its cell, in all the cell's tasks; it is a query in one of them
                 copies = ix.tasks[cell]
                 rows0 = np.repeat(np.arange(len(xs)), copies)
                 task0 = np.arange(len(rows0)) - np.repeat(np.cumsum(copies) - copies, copies)
-                asks = ix.asked(xs, home, cut)
+                asks = ix.asked(xs, home, cut, close)
                 asks[np.arange(len(xs)), cell] = False
                 rows1, cell1 = np.nonzero(asks)
                 row = np.concatenate([rows0, rows1])
@@ -220,7 +226,7 @@ def _routed(reps: DataFrame, index: Index, dims: int) -> DataFrame:
                 kind = np.concatenate([np.zeros(len(rows0), np.int32), np.ones(len(rows1), np.int32)])
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(cells.astype(np.int32)), pa.array(task.astype(np.int32)), pa.array(kind), pa.array(i[row]), lists_of.slice(a, 4096).take(pa.array(row)),
-                     pa.array(home[row].astype(np.int32)), pa.array(cut[row].astype(np.float32)), pa.array([raw[r] for r in row], pa.binary())],
+                     pa.array(home[row].astype(np.int32)), pa.array(np.where(ix.region[home[row]] == region[cells], cut[row], close[row]).astype(np.float32)), pa.array([raw[r] for r in row], pa.binary())],
                     names=["cell", "task", "kind", "id", "ids", "list", "cut", "v"],
                 )
 
@@ -253,8 +259,8 @@ def scan(x: np.ndarray, stored: np.ndarray, lists: np.ndarray, queries: np.ndarr
             continue
         rows = np.concatenate([np.arange(first[u], ends[u]) for u in use])
         db, both, n = all_db[rows], all_both[rows], len(rows)
-        # of the short list, as much as the block's lists are of all that is probed
-        want = min(n, max(2 * k, int(max(SHORTLIST, 4 * k) * min(1.0, n / (index.probe * index.total)))))
+        # the whole short list, or less where the lists are few of all that is probed
+        want = min(n, max(4 * k, int(max(SHORTLIST, 4 * k) * min(1.0, 3 * n / (index.probe * index.total)))))
         step = max(1, n // 2048)
         y = x[q]
         pairs = y.reshape(len(q), -1, 2)

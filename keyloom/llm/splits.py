@@ -42,9 +42,10 @@ def final_entities(alias: DataFrame) -> DataFrame:
         links = materialize(step.select("alias_key", F.coalesce("then", "next").alias("next"), F.least("low", F.coalesce("then_low", "low")).alias("low"), F.col("then").isNotNull().alias("moved")), "p2-links")
         if links.where("moved").isEmpty():
             break
-        links = links.drop("moved")
-    # what still moves after all chains must have ended is on a cycle or leads to one
-    return links.select("alias_key", F.when(F.col("moved"), F.col("low")).otherwise(F.col("next")).alias("final_key"))
+    # what still moves after all chains must have ended is on a cycle or leads to one: its target is on it by now, and has seen all of it
+    there = links.select(F.col("alias_key").alias("next"), F.col("low").alias("least"))
+    ends = links.join(there, "next", "left")
+    return ends.select("alias_key", F.when(F.col("moved"), F.coalesce("least", "low")).otherwise(F.col("next")).alias("final_key"))
 
 
 def entity_rows(entries: DataFrame, alias: DataFrame) -> DataFrame:
