@@ -52,3 +52,13 @@ def merged_queries(df: DataFrame, key: Column, order: str) -> DataFrame:
 def positives(df: DataFrame) -> DataFrame:
     """qid, pos, did: each positive of each record, in list order from 0, blanks aside; empty ones are left out."""
     return df.select("row_id", "qid", F.posexplode("pos_cand_list").alias("pos", "did")).withColumn("did", F.trim("did")).where("did <> ''")
+
+
+def with_candidates(refs: DataFrame, pool: DataFrame, shared: DataFrame) -> DataFrame:
+    """refs with the modality of the first candidate row of each did; a reference that neither pool has stays, with a null.
+
+    The shared pool goes first: its few candidates are the ones referenced most, so what is shuffled to the large pool has no hot key of theirs.
+    """
+    first = lambda c: first_of_each(c.select("row_id", "did", "modality"), ["did"], ["row_id"]).drop("row_id")
+    few = first(shared)
+    return refs.join(few, "did").unionByName(refs.join(few, "did", "left_anti").join(first(pool), "did", "left"))

@@ -93,10 +93,13 @@ def deliveries_by_modality(c):
 _POS = "(SELECT row_id, qid, trim(unnest(pos_cand_list)) AS did FROM mbeir_entry)"
 
 
-@_query(f"SELECT p.row_id, p.did, c.modality FROM {_POS} p JOIN (SELECT did, modality FROM cand_pool QUALIFY row_number() OVER (PARTITION BY did ORDER BY row_id) = 1) c USING (did)", "mbeir_entry", "cand_pool")
-def training_pairs(e, c):
-    first = r.first_of_each(c.select("row_id", "did", "modality"), ["did"], ["row_id"]).drop("row_id")
-    return r.positives(e).join(first, "did").select("row_id", "did", "modality")
+@_query(f"SELECT p.row_id, p.did, c.modality FROM {_POS} p JOIN (SELECT did, modality FROM cand_pool QUALIFY row_number() OVER (PARTITION BY did ORDER BY row_id) = 1) c USING (did)", "mbeir_entry", "cand_pool", "cand_pool_shared")
+def training_pairs(e, c, s):
+    """Every positive of every record with its candidate's modality, from either pool; modality is null where the candidate is in neither.
+
+    The SQL knows cand_pool alone, and lacks the positives that are not in it.
+    """
+    return r.with_candidates(r.positives(e), c, s).select("row_id", "did", "modality")
 
 
 @_query(f"SELECT row_id, did FROM cand_pool WHERE did IN (SELECT did FROM {_POS})", "mbeir_entry", "cand_pool")
