@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from keyloom.functions.records import file_dataset, file_split, json_text
+from keyloom.functions.records import entity_key, file_dataset, file_split, json_text
 from keyloom.operators import records as r
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -196,9 +196,16 @@ def carried_forward(e):
 
 @_query("SELECT row_id, modality FROM cand_pool QUALIFY row_number() OVER (PARTITION BY modality ORDER BY md5(row_id::VARCHAR), row_id) <= CASE WHEN modality = 'text' THEN 25 ELSE 137 END", "cand_pool")
 def trimmed_pools(c):
-    """A seeded shuffle's first rows of each modality, with the modality's own limit."""
-    n = F.row_number().over(Window.partitionBy("modality").orderBy(F.md5(F.col("row_id").cast("string")), "row_id"))
-    return c.withColumn("n", n).where(F.col("n") <= F.when(F.col("modality") == "text", 25).otherwise(137)).select("row_id", "modality")
+    """A seeded shuffle's first rows of each entity and modality, with the modality's own limit; rows without an entity all stay.
+
+    The SQL has the limits for the whole table instead of each entity.
+    """
+    rows = c.select("row_id", "modality", entity_key(json_text(F.col("src_content"), "wikidata_id")).alias("entity"))
+    n = F.row_number().over(Window.partitionBy("entity", "modality").orderBy(F.md5(F.col("row_id").cast("string")), "row_id"))
+    most = F.when(F.col("modality") == "text", 25).otherwise(137)
+    # the larger limit stands alone too, as a bound that Spark applies before the shuffle
+    kept = rows.where("entity is not null").withColumn("n", n).where((F.col("n") <= 137) & (F.col("n") <= most))
+    return kept.select("row_id", "modality").unionByName(rows.where("entity is null").select("row_id", "modality"))
 
 
 @_query("SELECT coalesce(a.key, b.key) AS key, a.n AS n_train, b.n AS n_test, b.n - a.n AS delta FROM (SELECT query_modality AS key, count(*) AS n FROM mbeir_entry WHERE query_file LIKE '%/train/%' GROUP BY 1) a FULL JOIN (SELECT query_modality AS key, count(*) AS n FROM mbeir_entry WHERE query_file LIKE '%/test/%' GROUP BY 1) b ON a.key = b.key", "mbeir_entry")

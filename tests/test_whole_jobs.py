@@ -19,3 +19,12 @@ def test_training_pairs_of_both_pools(spark, tmp_path):
     s = spark.createDataFrame([(1, "9:1", None, "image,text", None), (2, "9:1", None, "text", None)], POOL)
     got = run(spark, tmp_path, "training_pairs", mbeir_entry=e, cand_pool=c, cand_pool_shared=s)
     assert sorted(got, key=str) == [(1, "5:1", "text"), (1, "5:1", "text"), (1, "9:1", "image,text"), (2, "7:7", None), (2, "9:1", "image,text")]
+
+
+def test_trim_is_per_entity(spark, tmp_path):
+    src = lambda i: '{"wikidata_id": "%s"}' % i
+    rows = [(i, f"1:{i}", None, "text", src("Q1")) for i in range(30)] + [(100 + i, f"1:{i}", None, "text", src("Q2")) for i in range(26)]
+    rows += [(200 + i, f"1:{i}", None, "image", src("Q1")) for i in range(140)] + [(400 + i, f"1:{i}", None, "text", None if i % 2 else "{") for i in range(60)] + [(500, "1:1", None, None, src("Q3"))]
+    got = run(spark, tmp_path, "trimmed_pools", cand_pool=spark.createDataFrame(rows, POOL))
+    assert len(got) == len(set(got)) == 25 + 25 + 137 + 60 + 1
+    assert sum(i < 100 for i, _ in got) == 25 and sum(100 <= i < 200 for i, _ in got) == 25 and sum(i >= 400 for i, _ in got) == 61
