@@ -62,3 +62,9 @@ def with_candidates(refs: DataFrame, pool: DataFrame, shared: DataFrame) -> Data
     first = lambda c: first_of_each(c.select("row_id", "did", "modality"), ["did"], ["row_id"]).drop("row_id")
     few = first(shared)
     return refs.join(few, "did").unionByName(refs.join(few, "did", "left_anti").join(first(pool), "did", "left"))
+
+
+def referenced(df: DataFrame) -> DataFrame:
+    """did: each candidate that is among the positives or the negatives of any record, once."""
+    lists = F.concat(*(F.coalesce(c, F.array().cast("array<string>")) for c in ("pos_cand_list", "neg_cand_list")))
+    return df.select(F.explode(lists).alias("did")).select(F.trim("did").alias("did")).where("did <> ''").distinct()

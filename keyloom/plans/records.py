@@ -104,12 +104,14 @@ def training_pairs(e, c, s):
 
 @_query(f"SELECT row_id, did FROM cand_pool WHERE did IN (SELECT did FROM {_POS})", "mbeir_entry", "cand_pool")
 def referenced_pool(e, c):
-    return c.select("row_id", "did").join(r.positives(e).select("did").distinct(), "did", "left_semi")
+    """Candidate rows that are referenced by a positive or a negative of any record. The SQL knows the positives alone."""
+    return c.select("row_id", "did").join(r.referenced(e), "did", "left_semi")
 
 
 @_query(f"SELECT row_id, did FROM cand_pool WHERE did NOT IN (SELECT did FROM {_POS} WHERE did IS NOT NULL)", "mbeir_entry", "cand_pool")
 def unreferenced_pool(e, c):
-    return c.select("row_id", "did").join(r.positives(e).select("did").distinct(), "did", "left_anti")
+    """Candidate rows that are not referenced by a positive or a negative of any record. The SQL knows the positives alone."""
+    return c.select("row_id", "did").join(r.referenced(e), "did", "left_anti")
 
 
 @_query(f"SELECT row_id, count(*) AS own FROM {_POS} WHERE split_part(did, ':', 1) = split_part(qid, ':', 1) GROUP BY row_id", "mbeir_entry")

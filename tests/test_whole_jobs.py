@@ -28,3 +28,10 @@ def test_trim_is_per_entity(spark, tmp_path):
     got = run(spark, tmp_path, "trimmed_pools", cand_pool=spark.createDataFrame(rows, POOL))
     assert len(got) == len(set(got)) == 25 + 25 + 137 + 60 + 1
     assert sum(i < 100 for i, _ in got) == 25 and sum(100 <= i < 200 for i, _ in got) == 25 and sum(i >= 400 for i, _ in got) == 61
+
+
+def test_pools_know_negatives(spark, tmp_path):
+    e = spark.createDataFrame([(1, "1:1", "a", None, "text", ["5:1"], [" 6:1 "]), (2, "1:2", "b", None, "text", None, ["6:2", None]), (3, "1:3", "c", None, "text", ["5:2"], None)], ENTRY)
+    c = spark.createDataFrame([(i, d, None, "text", None) for i, d in enumerate(["5:1", "5:2", "6:1", "6:2", "8:1", "6:1"])], POOL)
+    dids = lambda name: sorted(x for row in run(spark, tmp_path, name, mbeir_entry=e, cand_pool=c) for x in row if isinstance(x, str))
+    assert dids("referenced_pool") == ["5:1", "5:2", "6:1", "6:1", "6:2"] and dids("unreferenced_pool") == ["8:1"]
