@@ -43,10 +43,20 @@ def all_but_first(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame
 
 
 def merged_queries(df: DataFrame, key: Column, order: str) -> DataFrame:
-    """One row for each key: first qid, and the ordered distinct union of the positives."""
-    lists = F.transform(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col("pos_cand_list").alias("l")))), lambda s: s["l"])
-    joined = F.array_distinct(F.flatten(F.filter(lists, lambda x: x.isNotNull())))
-    return df.withColumn("key", key).groupBy("key").agg(F.min_by("qid", order).alias("qid"), joined.alias("pos"), F.count("*").alias("copies"))
+    """key, qid, copies, pos, neg: one row for each key with its first qid and the ordered distinct unions of positives and of negatives.
+
+    Candidates are trimmed and blank ones left out; a key without any has empty lists. Each list is reduced to (candidate, first place) by partial
+    aggregation before anything is collected, so a key of many rows reaches its task as its distinct candidates only. What is
+    shuffled has the key's 128-bit digest in place of the key, which may hold a whole text.
+    """
+    rows = df.withColumn("key", key).withColumn("k", F.unhex(F.md5("key")))
+    heads = rows.groupBy("k").agg(F.min_by("key", order).alias("key"), F.min_by("qid", order).alias("qid"), F.count("*").alias("copies"))
+    side = lambda c: rows.select("k", F.col(order).alias("o"), F.lit(c).alias("side"), F.posexplode(f"{c}_cand_list").alias("at", "did"))
+    each = side("pos").unionByName(side("neg")).withColumn("did", F.trim("did")).where("did <> ''")
+    first = each.groupBy("k", "side", "did").agg(F.min(F.struct("o", "at")).alias("place"))
+    union = lambda c: F.transform(F.array_sort(F.collect_list(F.when(F.col("side") == c, F.struct("place", "did")))), lambda s: s["did"]).alias(c)
+    none = F.array().cast("array<string>")
+    return heads.join(first.groupBy("k").agg(union("pos"), union("neg")), "k", "left").select("key", "qid", "copies", F.coalesce("pos", none).alias("pos"), F.coalesce("neg", none).alias("neg"))
 
 
 def positives(df: DataFrame) -> DataFrame:

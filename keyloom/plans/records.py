@@ -51,7 +51,8 @@ _KEY = "concat_ws('-', nullif(query_txt, ''), nullif(query_img_path, ''), query_
 
 @_query(f"SELECT key, arg_min(qid, row_id) AS qid, count(*) AS copies FROM (SELECT *, {_KEY} AS key FROM mbeir_entry) GROUP BY key", "mbeir_entry")
 def merged_queries(e):
-    return r.merged_queries(e, r.record_key(F.col("query_txt"), F.col("query_img_path"), F.col("query_modality")), "row_id").select("key", "qid", "copies")
+    """One row for each query: first qid, copies, and the ordered distinct unions of its positives and negatives, which the SQL lacks."""
+    return r.merged_queries(e, r.record_key(F.col("query_txt"), F.col("query_img_path"), F.col("query_modality")), "row_id").select("key", "qid", "copies", "pos", "neg")
 
 
 @_query("SELECT row_id, qid FROM mbeir_entry QUALIFY row_number() OVER (PARTITION BY qid ORDER BY row_id) = 1", "mbeir_entry")

@@ -35,3 +35,9 @@ def test_pools_know_negatives(spark, tmp_path):
     c = spark.createDataFrame([(i, d, None, "text", None) for i, d in enumerate(["5:1", "5:2", "6:1", "6:2", "8:1", "6:1"])], POOL)
     dids = lambda name: sorted(x for row in run(spark, tmp_path, name, mbeir_entry=e, cand_pool=c) for x in row if isinstance(x, str))
     assert dids("referenced_pool") == ["5:1", "5:2", "6:1", "6:1", "6:2"] and dids("unreferenced_pool") == ["8:1"]
+
+
+def test_merged_queries_keep_all_candidates(spark, tmp_path):
+    rows = [(3, "1:3", "a", "", "text", ["5:3", "5:1 "], ["6:9"]), (1, "1:1", "a", None, "text", ["5:2", "5:1", "5:2"], None), (2, "1:2", "a", None, "text", None, ["6:1", "6:9", ""])]
+    e = spark.createDataFrame([*rows, (4, "1:4", None, None, "text", None, [])], ENTRY)
+    assert sorted(run(spark, tmp_path, "merged_queries", mbeir_entry=e)) == [("a-text", "1:1", 3, ["5:2", "5:1", "5:3"], ["6:1", "6:9"]), ("text", "1:4", 1, [], [])]
