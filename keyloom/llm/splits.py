@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from keyloom.functions.records import entity_key, file_split, json_text, split_name
+from keyloom.operators.aliases import final_entities
 from keyloom.storage import materialize
 
 HEAVY = 2000
@@ -26,28 +27,6 @@ BINS = 100
 TARGETS = {"train": 0.8, "val": 0.1, "test": 0.1}
 
 
-def final_entities(alias: DataFrame) -> DataFrame:
-    """alias_key, final_key: each alias with the entity that it finally leads to, by pointer doubling.
-
-    Of several targets of one alias the last merged counts (no time counts as first; ties: the smaller id); aliases of themselves and null ids
-    count for nothing; the ids of a cycle all lead to its smallest id. Each round halves the chains left and is written to the shared folder.
-    """
-    a = alias.select(entity_key(F.col("alias_id")).alias("alias_key"), entity_key(F.col("entity_id")).alias("next"), "merged_at").dropna(subset=["alias_key", "next"])
-    last = a.groupBy("alias_key").agg(F.min_by("next", F.struct(F.col("merged_at").isNull(), -F.unix_micros(F.col("merged_at").cast("timestamp")), "next")).alias("next"))
-    links = materialize(last.where("alias_key <> next").withColumn("low", F.least("alias_key", "next")), "p2-links")
-    n = links.count()
-    for _ in range(max(1, n.bit_length()) + 1):
-        far = links.select(F.col("alias_key").alias("next"), F.col("next").alias("then"), F.col("low").alias("then_low"))
-        step = links.join(far, "next", "left")
-        links = materialize(step.select("alias_key", F.coalesce("then", "next").alias("next"), F.least("low", F.coalesce("then_low", "low")).alias("low"), F.col("then").isNotNull().alias("moved")), "p2-links")
-        if links.where("moved").isEmpty():
-            break
-    # what still moves after all chains must have ended is on a cycle or leads to one: its target is on it by now, and has seen all of it
-    there = links.select(F.col("alias_key").alias("next"), F.col("low").alias("least"))
-    ends = links.join(there, "next", "left")
-    return ends.select("alias_key", F.when(F.col("moved"), F.coalesce("least", "low")).otherwise(F.col("next")).alias("final_key"))
-
-
 def entity_rows(entries: DataFrame, alias: DataFrame) -> DataFrame:
     """row_id, entity_id (final), named (the split that data_split gives, else null), split (of the file) of each row that has an entity."""
     src = F.col("query_src_content")

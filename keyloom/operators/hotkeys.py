@@ -12,6 +12,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from keyloom.functions.records import entity_key, file_split, json_text
+from keyloom.operators.aliases import final_entities
+from keyloom.storage import materialize
 
 SPLITS = ("train", "val", "test")
 
@@ -31,23 +33,28 @@ def per_key(rows: DataFrame, keys: list[str], record: str, split: Column, partit
     )
 
 
-def keyed_entries(entries: DataFrame) -> DataFrame:
-    """key_kind, key_id, qid, split: a row for each entity and for each distinct candidate of each record. Blank candidates are left out."""
+def keyed_entries(entries: DataFrame, alias: DataFrame | None = None) -> DataFrame:
+    """key_kind, key_id, qid, split: a row for each entity and for each distinct candidate of each record. Blank candidates are left out.
+
+    With a table of aliases, an entity is the one that it finally leads to.
+    """
     clean = F.filter(F.transform("pos_cand_list", lambda d: F.regexp_replace(d, r"[\s\p{Z}\p{C}]+", "")), lambda d: d != "")
-    base = entries.select("qid", file_split(F.col("query_file")).alias("split"), entity_key(json_text(F.col("query_src_content"), "entity_id")).alias("e"), F.array_distinct(clean).alias("c"))
-    pairs = F.concat(
-        F.when(F.col("e").isNotNull(), F.array(F.struct(F.lit("entity").alias("key_kind"), F.col("e").alias("key_id")))).otherwise(F.array().cast("array<struct<key_kind:string,key_id:string>>")),
-        F.coalesce(F.transform("c", lambda d: F.struct(F.lit("candidate").alias("key_kind"), d.alias("key_id"))), F.array().cast("array<struct<key_kind:string,key_id:string>>")),
-    )
-    return base.select(F.explode(pairs).alias("k"), "qid", "split").select("k.key_kind", "k.key_id", "qid", "split")
+    split = file_split(F.col("query_file")).alias("split")
+    entities = entries.select(entity_key(json_text(F.col("query_src_content"), "entity_id")).alias("alias_key"), "qid", split).where("alias_key is not null")
+    if alias is not None:
+        # read back from files, both sides of the join are plain exchanges, so Spark can cut a hot entity's partition where it doesn't broadcast
+        entities = entities.join(materialize(final_entities(alias), "p5-aliases"), "alias_key", "left").withColumn("alias_key", F.coalesce("final_key", "alias_key"))
+    candidates = entries.select(F.explode(F.array_distinct(clean)).alias("key_id"), "qid", split)
+    one = entities.select(F.lit("entity").alias("key_kind"), F.col("alias_key").alias("key_id"), "qid", "split")
+    return one.unionByName(candidates.select(F.lit("candidate").alias("key_kind"), "key_id", "qid", "split"))
 
 
-def entry_keys(entries: DataFrame, partitions: int | None = None) -> DataFrame:
+def entry_keys(entries: DataFrame, partitions: int | None = None, alias: DataFrame | None = None) -> DataFrame:
     """key_kind, key_id, n_rows, n_records, n_train, n_val, n_test of every entity and candidate."""
-    return per_key(keyed_entries(entries), ["key_kind", "key_id"], "qid", F.col("split"), partitions)
+    return per_key(keyed_entries(entries, alias), ["key_kind", "key_id"], "qid", F.col("split"), partitions)
 
 
-def heavy_keys(entries: DataFrame, share: float = 0.02) -> DataFrame:
+def heavy_keys(entries: DataFrame, share: float = 0.02, alias: DataFrame | None = None) -> DataFrame:
     """key_kind, key_id of the keys that occur in at least the given share of all rows."""
     total = entries.agg((F.count("*") * F.lit(share)).alias("least"))
-    return entry_keys(entries).crossJoin(F.broadcast(total)).where("n_rows >= least").select("key_kind", "key_id")
+    return entry_keys(entries, alias=alias).crossJoin(F.broadcast(total)).where("n_rows >= least").select("key_kind", "key_id")

@@ -18,11 +18,12 @@ def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
 
 
 def p5_found(spark: SparkSession, sf: str) -> DataFrame:
-    return hotkeys.heavy_keys(_t(spark, sf, "mbeir_entry"))
+    return hotkeys.heavy_keys(_t(spark, sf, "mbeir_entry"), alias=_t(spark, sf, "entity_alias"))
 
 
 def p5_keys(spark: SparkSession, sf: str) -> DataFrame:
-    return hotkeys.entry_keys(_t(spark, sf, "mbeir_entry"))
+    """Aliases count as the entity that they finally lead to; the SQL leaves them apart."""
+    return hotkeys.entry_keys(_t(spark, sf, "mbeir_entry"), alias=_t(spark, sf, "entity_alias"))
 
 
 _P5_SQL = r"""

@@ -1,7 +1,4 @@
-from pyspark.sql import functions as F
-
-from keyloom.operators import records as r
-from keyloom.plans import records as plans
+from keyloom.plans import queries as plans
 
 ENTRY = "row_id long, qid string, query_txt string, query_img_path string, query_modality string, pos_cand_list array<string>, neg_cand_list array<string>"
 POOL = "row_id long, did string, txt string, modality string, src_content string"
@@ -41,3 +38,11 @@ def test_merged_queries_keep_all_candidates(spark, tmp_path):
     rows = [(3, "1:3", "a", "", "text", ["5:3", "5:1 "], ["6:9"]), (1, "1:1", "a", None, "text", ["5:2", "5:1", "5:2"], None), (2, "1:2", "a", None, "text", None, ["6:1", "6:9", ""])]
     e = spark.createDataFrame([*rows, (4, "1:4", None, None, "text", None, [])], ENTRY)
     assert sorted(run(spark, tmp_path, "merged_queries", mbeir_entry=e)) == [("a-text", "1:1", 3, ["5:2", "5:1", "5:3"], ["6:1", "6:9"]), ("text", "1:4", 1, [], [])]
+
+
+def test_aliases_share_a_key(spark, tmp_path):
+    rows = [(i, f"1:{i // 2}", '{"entity_id": "%s"}' % e, ["5:1"], "query/train/mbeir_oven_train.jsonl") for i, e in enumerate(["Q1", " q2", "wd:Q3", "Q1", "Q4"])]
+    e = spark.createDataFrame([*rows, (9, "1:9", "{", None, "query/val/mbeir_oven_val.jsonl")], "row_id long, qid string, query_src_content string, pos_cand_list array<string>, query_file string")
+    a = spark.createDataFrame([("Q3", "q2"), ("wd:Q2", "Q1"), ("Q8", "Q9")], "alias_id string, entity_id string").selectExpr("*", "timestamp'2024-01-01' AS merged_at")
+    got = run(spark, tmp_path, "p5_keys", mbeir_entry=e, entity_alias=a)
+    assert sorted(got) == [("candidate", "5:1", 5, 3, 5, 0, 0), ("entity", "Q1", 4, 2, 4, 0, 0), ("entity", "Q4", 1, 1, 1, 0, 0)]
