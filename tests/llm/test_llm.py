@@ -2,6 +2,7 @@ import random
 import unicodedata
 
 import numpy as np
+import pandas as pd
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -95,29 +96,51 @@ def test_pieces(spark):
     assert all((sentence * 60)[:e].rstrip().endswith(".") for _, e in pieces.cuts(sentence * 60)[:-1])
 
 
+def recall(x, got, rows):
+    """Share of the exact ten most similar of these rows that were found."""
+    u = x.astype(np.float32)
+    u /= np.linalg.norm(u, axis=1)[:, None]
+    hits = []
+    for i in rows:
+        s = u @ u[i]
+        s[i] = -2
+        kth = np.partition(s, -10)[-10]
+        hits += [s[g] >= kth - 1e-5 for g, _ in got[i]]
+        assert len(got[i]) == 10 and all(g != i and abs(c - s[g]) < 1e-4 for g, c in got[i])
+    return np.mean(hits)
+
+
 def test_neighbours(spark, monkeypatch):
     rng = np.random.default_rng(0)
     centres = rng.normal(size=(30, 16))
     x = centres[rng.integers(0, 30, 3000)] + 0.8 * rng.normal(size=(3000, 16))
     x[100:115] = x[100]
     x[200:203] = x[200]
-    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] * 16), (9004, [])]
-    df = spark.createDataFrame(rows[:-1], "vec_id long, embedding array<float>")
-    monkeypatch.setattr(neighbours, "CELL_ROWS", 1500)
-    monkeypatch.setattr(neighbours, "CELL_MOST", 400)
-    monkeypatch.setattr(neighbours, "QUERIES_MOST", 300)
-    monkeypatch.setattr(neighbours, "NEAR", 0.2)
-    got = {r.vec_id: r.found for r in neighbours.neighbours(df, probe=0.9).collect()}
-    assert set(got) == set(range(3000)) and all(len(f) == 10 for f in got.values())
-    u = x.astype(np.float32).astype(float)
-    u /= np.linalg.norm(u, axis=1)[:, None]
-    s = u @ u.T
-    np.fill_diagonal(s, -2)
-    kth = np.sort(s, axis=1)[:, -10]
-    hits = [s[i, f["id"]] >= kth[i] - 1e-5 for i, fs in got.items() for f in fs]
-    assert np.mean(hits) > 0.9
-    assert all(f["id"] != i and abs(f["cosine"] - s[i, f["id"]]) < 1e-4 for i in range(300) for f in got[i])
-    assert neighbours.neighbours(df.limit(0)).count() == 0
+    rows = [(i, [float(v) for v in r]) for i, r in enumerate(x)] + [(9001, None), (9002, [0.0] * 16), (9003, [float("nan")] * 16), (9004, []), (9005, [1.0] * 15)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>").withColumn("id", F.lit("clash"))
+    run = lambda: {r.vec_id: [(f["id"], f["cosine"]) for f in r.found] for r in neighbours.neighbours(df).collect()}
+    got = run()
+    assert set(got) == set(range(3000)) and recall(x, got, range(3000)) > 0.95
+    # cut regions, and cells whose queries are spread over several tasks
+    monkeypatch.setattr(neighbours, "REGION_LEAST", 200)
+    monkeypatch.setattr(neighbours, "CELL_MOST", 150)
+    monkeypatch.setattr(neighbours, "QUERIES_MOST", 90)
+    got = run()
+    assert set(got) == set(range(3000)) and recall(x, got, range(3000)) > 0.95
+    assert neighbours.neighbours(df.limit(0)).count() == 0 and neighbours.neighbours(df.limit(1)).count() == 0
+
+
+def test_neighbours_default_parameters(spark):
+    """Over 50,000 vectors, unevenly spread, with outliers; several regions, so routing, probing and short lists all count."""
+    rng = np.random.default_rng(1)
+    n, centres = 60_000, rng.normal(size=(40, 64))
+    size = rng.integers(0, 40, n)
+    size[: n // 3] = 0
+    x = (0.7 * centres[size] + rng.normal(size=(n, 64))).astype(np.float32)
+    x[::50] = rng.normal(size=(n // 50, 64))
+    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}))
+    got = {r.vec_id: [(f["id"], f["cosine"]) for f in r.found] for r in neighbours.neighbours(df).where("vec_id % 117 = 0").collect()}
+    assert recall(x, got, range(0, n, 117)) >= 0.95
 
 
 def test_encoding(spark):
