@@ -2,7 +2,7 @@ import random
 import unicodedata
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import pytest
 import regex
 from pyspark.sql import functions as F
@@ -138,7 +138,7 @@ def test_neighbours_default_parameters(spark):
     size[: n // 3] = 0
     x = (0.7 * centres[size] + rng.normal(size=(n, 64))).astype(np.float32)
     x[::50] = rng.normal(size=(n // 50, 64))
-    df = spark.createDataFrame(pd.DataFrame({"vec_id": np.arange(n), "embedding": list(x)}))
+    df = spark.createDataFrame(pa.table({"vec_id": np.arange(n), "embedding": pa.array(list(x))}))
     got = {r.vec_id: [(f["id"], f["cosine"]) for f in r.found] for r in neighbours.neighbours(df).where("vec_id % 117 = 0").collect()}
     assert recall(x, got, range(0, n, 117)) >= 0.95
 
