@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from keyloom.storage import materialize
+
 
 def hashed_id(c: Column, per_dataset: int) -> Column:
     """ds * per_dataset + n of an id "ds:n" (500,000 for queries, 10,000,000 for candidates); null where it isn't one."""
@@ -33,6 +35,20 @@ def record_key(txt: Column, img: Column, modality: Column) -> Column:
     return F.concat_ws("-", F.nullif(txt, F.lit("")), F.nullif(img, F.lit("")), modality)
 
 
+def numbered(df: DataFrame, order: list[str], name: str = "n", within: list[str] | None = None, begin: int = 1) -> DataFrame:
+    """Adds the row's number in a total order, in each group of `within` from `begin` on, without sorting a group in one task.
+
+    Rows are range partitioned by group and order and written once; each partition numbers its own, and the sizes of the partitions before it, a
+    table of one row a partition and group, are added.
+    """
+    within = within or []
+    parts = materialize(df.repartitionByRange(*within, *order).withColumn("_part", F.spark_partition_id()), "numbered")
+    before = Window.partitionBy(*within).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    sizes = parts.groupBy("_part", *within).agg(F.count("*").alias("_size")).withColumn("_before", F.coalesce(F.sum("_size").over(before), F.lit(0))).drop("_size")
+    own = F.row_number().over(Window.partitionBy("_part", *within).orderBy(*order))
+    return parts.withColumn("_own", own).join(F.broadcast(sizes), ["_part", *within]).withColumn(name, (F.col("_own") + F.col("_before") + (begin - 1)).cast("bigint")).drop("_part", "_own", "_before")
+
+
 def first_of_each(df: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """The first row of each key."""
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("_n = 1").drop("_n")
