@@ -10,6 +10,7 @@ from pyspark.sql.window import Window
 
 from keyloom.functions.records import entity_key, file_dataset, file_split, json_text
 from keyloom.operators import records as r
+from keyloom.operators.keys import exact_percentiles
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -28,31 +29,45 @@ def _query(sql: str | None, *tables: str):
     return register
 
 
-_DS = "split_part(qid, ':', 1)::BIGINT"
-
-
 @_query("SELECT row_id, split_part(qid, ':', 1)::BIGINT * 500000 + split_part(qid, ':', 2)::BIGINT AS hashed, qid AS restored FROM mbeir_entry", "mbeir_entry")
 def hashed_query_ids(e):
     h = e.select("row_id", r.hashed_id(F.col("qid"), 500_000).alias("hashed"))
     return h.withColumn("restored", r.unhashed_id(F.col("hashed"), 500_000))
 
 
-@_query(
-    r"""WITH x AS (SELECT row_id, regexp_replace(trim(replace(coalesce(query_txt, ''), chr(13), '')), '^"+|"+$', '', 'g') AS t FROM mbeir_entry),
-    y AS (SELECT row_id, upper(t[1]) || t[2:] AS t FROM x) SELECT row_id, CASE WHEN t = '' THEN '' WHEN regexp_matches(t, '[.?!]$') THEN t ELSE t || '.' END AS txt FROM y""",
-    "mbeir_entry",
-)
+_SPACE = r"[\s\x{0b}\x{1c}-\x{1f}\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+
+
+def sentence_sql(txt: str) -> str:
+    """txt by the rules of sentence_form."""
+    t = rf"""regexp_replace(regexp_replace(regexp_replace(replace(coalesce({txt}, ''), chr(13), ''), '^{_SPACE}', ''), '{_SPACE}$', ''), '^"+|"+$', '', 'g')"""
+    return f"(SELECT CASE WHEN t = '' THEN '' WHEN regexp_matches(t, '[.?!]$') THEN upper(t[1]) || t[2:] ELSE upper(t[1]) || t[2:] || '.' END FROM (SELECT {t} AS t))"
+
+
+@_query(f"SELECT row_id, {sentence_sql('query_txt')} AS txt FROM mbeir_entry", "mbeir_entry")
 def sentence_forms(e):
     return e.select("row_id", r.sentence_form(F.col("query_txt")).alias("txt"))
 
 
-_KEY = "concat_ws('-', nullif(query_txt, ''), nullif(query_img_path, ''), query_modality)"
+def _union_sql(side: str) -> str:
+    return (
+        f"{side}s AS (SELECT query_txt, query_img_path, query_modality, string_agg(did, ',' ORDER BY o, i) AS {side} FROM (SELECT query_txt, query_img_path, query_modality, did, min(o) AS o, arg_min(i, [o, i]) AS i FROM (SELECT query_txt, query_img_path,"
+        f" query_modality, row_id AS o, trim(unnest({side}_cand_list)) AS did, generate_subscripts({side}_cand_list, 1) AS i FROM mbeir_entry) WHERE did <> '' GROUP BY ALL) GROUP BY ALL)"
+    )
+
+
+_SAME = "x.query_txt IS NOT DISTINCT FROM k.query_txt AND x.query_img_path IS NOT DISTINCT FROM k.query_img_path AND x.query_modality IS NOT DISTINCT FROM k.query_modality"
 
 
-@_query(f"SELECT key, arg_min(qid, row_id) AS qid, count(*) AS copies FROM (SELECT *, {_KEY} AS key FROM mbeir_entry) GROUP BY key", "mbeir_entry")
+@_query(
+    f"WITH k AS (SELECT query_txt, query_img_path, query_modality, arg_min(qid, row_id) AS qid, count(*) AS copies FROM mbeir_entry GROUP BY ALL), {_union_sql('pos')}, {_union_sql('neg')}"
+    f" SELECT k.*, coalesce(x.pos, '') AS pos, coalesce(y.neg, '') AS neg FROM k LEFT JOIN poss x ON {_SAME} LEFT JOIN negs y ON {_SAME.replace('x.', 'y.')}",
+    "mbeir_entry",
+)
 def merged_queries(e):
-    """One row for each query: first qid, copies, and the ordered distinct unions of its positives and negatives, which the SQL lacks."""
-    return r.merged_queries(e, r.record_key(F.col("query_txt"), F.col("query_img_path"), F.col("query_modality")), "row_id").select("key", "qid", "copies", "pos", "neg")
+    """One row for each text, image and modality: first qid, copies, and the ordered distinct unions of its positives and negatives."""
+    got = r.merged_queries(e, ["query_txt", "query_img_path", "query_modality"], "row_id")
+    return got.withColumn("pos", F.array_join("pos", ",")).withColumn("neg", F.array_join("neg", ","))
 
 
 @_query("SELECT row_id, qid FROM mbeir_entry QUALIFY row_number() OVER (PARTITION BY qid ORDER BY row_id) = 1", "mbeir_entry")
@@ -92,26 +107,28 @@ def deliveries_by_modality(c):
 
 
 _POS = "(SELECT row_id, qid, trim(unnest(pos_cand_list)) AS did FROM mbeir_entry)"
+_REFS = "(SELECT trim(unnest(list_concat(coalesce(pos_cand_list, []), coalesce(neg_cand_list, [])))) AS did FROM mbeir_entry)"
+_FIRST = "(SELECT did, modality, txt, src_content FROM {t} QUALIFY row_number() OVER (PARTITION BY did ORDER BY row_id) = 1)"
 
 
-@_query(f"SELECT p.row_id, p.did, c.modality FROM {_POS} p JOIN (SELECT did, modality FROM cand_pool QUALIFY row_number() OVER (PARTITION BY did ORDER BY row_id) = 1) c USING (did)", "mbeir_entry", "cand_pool", "cand_pool_shared")
+@_query(
+    f"SELECT p.row_id, p.did, coalesce(s.modality, c.modality) AS modality FROM {_POS} p LEFT JOIN {_FIRST.format(t='cand_pool_shared')} s ON s.did = p.did LEFT JOIN {_FIRST.format(t='cand_pool')} c ON c.did = p.did WHERE p.did <> ''",
+    "mbeir_entry", "cand_pool", "cand_pool_shared",
+)
 def training_pairs(e, c, s):
-    """Every positive of every record with its candidate's modality, from either pool; modality is null where the candidate is in neither.
-
-    The SQL knows cand_pool alone, and lacks the positives that are not in it.
-    """
+    """Every positive of every record with its candidate's modality, from either pool; modality is null where the candidate is in neither."""
     return r.with_candidates(r.positives(e), c, s).select("row_id", "did", "modality")
 
 
-@_query(f"SELECT row_id, did FROM cand_pool WHERE did IN (SELECT did FROM {_POS})", "mbeir_entry", "cand_pool")
+@_query(f"SELECT row_id, did FROM cand_pool WHERE did IN (SELECT did FROM {_REFS})", "mbeir_entry", "cand_pool")
 def referenced_pool(e, c):
-    """Candidate rows that are referenced by a positive or a negative of any record. The SQL knows the positives alone."""
+    """Candidate rows that are referenced by a positive or a negative of any record."""
     return c.select("row_id", "did").join(r.referenced(e), "did", "left_semi")
 
 
-@_query(f"SELECT row_id, did FROM cand_pool WHERE did NOT IN (SELECT did FROM {_POS} WHERE did IS NOT NULL)", "mbeir_entry", "cand_pool")
+@_query(f"SELECT row_id, did FROM cand_pool WHERE did NOT IN (SELECT did FROM {_REFS} WHERE did IS NOT NULL)", "mbeir_entry", "cand_pool")
 def unreferenced_pool(e, c):
-    """Candidate rows that are not referenced by a positive or a negative of any record. The SQL knows the positives alone."""
+    """Candidate rows that are not referenced by a positive or a negative of any record."""
     return c.select("row_id", "did").join(r.referenced(e), "did", "left_anti")
 
 
@@ -186,8 +203,8 @@ def source_ids(c):
     "events",
 )
 def latency_report(e):
-    p = lambda q: F.round(F.percentile("value", q), 4)
-    return e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), p(0.5).alias("p50"), p(0.95).alias("p95"), p(0.99).alias("p99"), F.round(F.max("value"), 4).alias("top"))
+    mean = e.groupBy("event_type").agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("mean"), F.round(F.max("value"), 4).alias("top"))
+    return mean.join(exact_percentiles(e, "event_type", "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, 4), "event_type")
 
 
 @_query("SELECT event_id, last_value(CASE WHEN event_type = 'error' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS last_error FROM events", "events")
@@ -197,12 +214,17 @@ def carried_forward(e):
     return e.select("event_id", F.last(F.when(F.col("event_type") == "error", F.col("event_id")), ignorenulls=True).over(w).alias("last_error"))
 
 
-@_query("SELECT row_id, modality FROM cand_pool QUALIFY row_number() OVER (PARTITION BY modality ORDER BY md5(row_id::VARCHAR), row_id) <= CASE WHEN modality = 'text' THEN 25 ELSE 137 END", "cand_pool")
-def trimmed_pools(c):
-    """A seeded shuffle's first rows of each entity and modality, with the modality's own limit; rows without an entity all stay.
+_JSON = "(SELECT *, CASE WHEN json_type(j0) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(j0, '$')) THEN json_extract_string(j0, '$')::JSON END ELSE j0 END AS j FROM (SELECT *, CASE WHEN json_valid({c}) THEN {c}::JSON END AS j0 FROM {t}))"
+_ENTITY = r"nullif(regexp_replace(upper(regexp_replace({x}, '[\s\p{{Z}}\p{{C}}]+', '', 'g')), '^WD:', ''), '')"
+
 
-    The SQL has the limits for the whole table instead of each entity.
-    """
+@_query(
+    f"WITH x AS (SELECT row_id, modality, {_ENTITY.format(x=chr(34) + 'w' + chr(34))} AS entity FROM (SELECT *, json_extract_string(j, '$.wikidata_id') AS w FROM {_JSON.format(c='src_content', t='cand_pool')}))"
+    " SELECT row_id, modality FROM x WHERE entity IS NULL UNION ALL SELECT row_id, modality FROM (SELECT * FROM x WHERE entity IS NOT NULL QUALIFY row_number() OVER (PARTITION BY entity, modality ORDER BY md5(row_id::VARCHAR), row_id) <= CASE WHEN modality = 'text' THEN 25 ELSE 137 END)",
+    "cand_pool",
+)
+def trimmed_pools(c):
+    """A seeded shuffle's first rows of each entity and modality, with the modality's own limit; rows without an entity all stay."""
     rows = c.select("row_id", "modality", entity_key(json_text(F.col("src_content"), "wikidata_id")).alias("entity"))
     n = F.row_number().over(Window.partitionBy("entity", "modality").orderBy(F.md5(F.col("row_id").cast("string")), "row_id"))
     most = F.when(F.col("modality") == "text", 25).otherwise(137)
