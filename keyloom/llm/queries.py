@@ -81,13 +81,17 @@ def p6_ids(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def p7_found(spark: SparkSession, sf: str) -> DataFrame:
-    return p7_spans(spark, sf).select("doc_id", "item_id")
+    return p7_spans(spark, sf).where("stretch_no = 0").select("doc_id", "item_id")
 
 
 def p7_spans(spark: SparkSession, sf: str) -> DataFrame:
     return leaks.leaked(_t(spark, sf, "documents"), _t(spark, sf, "benchmark"))
 
 
+def p7_cleaned(spark: SparkSession, sf: str) -> DataFrame:
+    return leaks.cleaned(_t(spark, sf, "documents"), _t(spark, sf, "benchmark"))
+
+
 def p8_found(spark: SparkSession, sf: str) -> DataFrame:
     docs = _t(spark, sf, "documents")
     return languages.mislabelled(docs, languages.segments(docs))
@@ -117,7 +121,7 @@ QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
         p1_found, p1_report, p1_links, p2_found, p2_splits, p2_components, p3_found, p3_pieces, p4_found, p4_neighbours,
-        p6_ids, p7_found, p7_spans, p8_found, p8_segments, p8_documents,
+        p6_ids, p7_found, p7_spans, p7_cleaned, p8_found, p8_segments, p8_documents,
     )
 }
 SQL: dict[str, str] = {

@@ -179,6 +179,85 @@ def test_leaks(spark):
     assert leaks.leaked(df.limit(0), bench).count() == 0 and leaks.leaked(df, bench.limit(0)).count() == 0
 
 
+def test_leaked_stretches_are_whole_and_removed(spark):
+    item = [f"word{i}" for i in range(100)]
+    part = item[:99]
+    part[40] = "other"
+    short = "kilo lima mike november oscar papa quebec romeo sierra tango".split()
+    texts = {
+        1: "Before it, all five <b>words</b> come. " + " ".join(part).upper() + ". After &amp; all.",
+        2: "x " + " ".join(short) + " between\n\n" + ", ".join(short[:6]) + " y",
+        3: "caf\u00e9 " + " ".join(item[10:75]),
+        4: None, 5: "", 6: "nothing here",
+    }
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").withColumn("item_id", F.lit("clash"))
+    bench = spark.createDataFrame([(1, " ".join(item)), (2, " ".join(short))], "item_id long, text string")
+    got = {(r.doc_id, r.item_id, r.stretch_no): r for r in leaks.leaked(df, bench).collect()}
+    assert set(got) == {(1, 1, 0), (2, 2, 0), (2, 2, 1), (3, 1, 0)}
+    one = got[1, 1, 0]
+    assert (one.first_word, one.end_word, one.coverage) == (6, 105, 0.98)
+    assert texts[1][one.first_char : one.end_char] == " ".join(part).upper()
+    assert texts[2][got[2, 2, 1].first_char : got[2, 2, 1].end_char] == ", ".join(short[:6])
+    assert texts[3][got[3, 1, 0].first_char :] == " ".join(item[10:75]) and got[3, 1, 0].coverage == 0.65
+    clean = {r.doc_id: (r.text, r.removed) for r in leaks.cleaned(df, bench).collect()}
+    assert clean[1][0] == "Before it, all five <b>words</b> come. . After &amp; all." and clean[2][0] == "x between\n\n y" and clean[3][0] == "caf\u00e9"
+    assert clean[4] == (None, 0) and clean[5] == ("", 0) and clean[6] == ("nothing here", 0)
+    assert leaks.leaked(leaks.cleaned(df, bench), bench).count() == 0
+    old, leaks.MAX_CHARS = leaks.MAX_CHARS, 10
+    try:
+        with pytest.raises(ValueError):
+            leaks.leaked(df, bench)
+    finally:
+        leaks.MAX_CHARS = old
+
+
+def exact_stretch(doc, item):
+    """Most words of the item that any stretch of doc gives in order with an edit in eight words, by a full table."""
+    best = 0
+    for a in range(len(doc)):
+        row = {j: {0: 0} for j in range(len(item) + 1)}  # at a word of the item, from where the stretch may begin: edits -> most words found
+        for z in range(a, len(doc)):
+            new = {}
+            for j in range(len(item) + 1):
+                to = {}
+                def put(e, f):
+                    to[e] = max(to.get(e, -1), f)
+                for e, f in row[j].items():
+                    put(e + 1, f)
+                if j:
+                    for e, f in row[j - 1].items():
+                        same = item[j - 1] == doc[z]
+                        put(e + (not same), f + same)
+                    for e, f in new[j - 1].items():
+                        put(e + 1, f)
+                new[j] = {e: f for e, f in to.items() if e <= len(doc) * leaks.ERRORS + 1}
+            row = new
+            n = z - a + 1
+            best = max([best, *(f for d in row.values() for e, f in d.items() if e <= n * leaks.ERRORS)])
+    return best
+
+
+def test_stretches_agree_with_full_alignment():
+    rng = random.Random(8)
+    vocab = [f"v{i}" for i in range(200)]
+    hits = 0
+    for _ in range(40):
+        item = [rng.choice(vocab) for _ in range(rng.randint(8, 24))]
+        a = rng.randint(0, 4)
+        body = list(item[a : a + rng.randint(len(item) // 2, len(item))])
+        for _ in range(rng.randint(0, 2)):
+            k = rng.randrange(len(body))
+            body[k : k + 1] = rng.choice([[], ["zz"], [body[k], "yy"]])
+        doc = [rng.choice(vocab) + "q" for _ in range(5)] + body + ["end"] * 3
+        most = exact_stretch(doc, item)
+        got = leaks._finder([item], [[1]], leaks.SHARE)(" ".join(doc))
+        assert bool(got) == (most >= leaks.SHARE * len(item)), (doc, item, most, got)
+        if got:
+            hits += 1
+            assert max(g[2] for g in got) == pytest.approx(most / len(item))
+    assert hits > 15
+
+
 def test_languages(spark):
     words = {"en": "the house stands on a green hill near old water", "de": "das haus steht auf einem hügel neben dem alten wasser", "fr": "la maison se trouve sur une colline verte près de", "zh": "这座房子在绿色的小山上靠近水边非常漂亮"}
     rng = random.Random(2)
