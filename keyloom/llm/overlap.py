@@ -9,9 +9,12 @@ image and words, so copies cost nothing beyond their count. Between classes runs
   at least TAU times either's squared norm. TAU follows from MAX_W2 alone, so no pair is lost;
 * terms are ordered rare first. A class lists terms until the residual's squared norm plus c times the maximum weight is under TAU of the
   whole: two classes over the limit then share more than c listed terms;
-* for images that few records have, c is 0 and a list's key is a term. Where many share an image, or have none, c is 2 (for long texts
-  an eighth of the words). There a term that occurs at most RARE times is a key by itself; of the others, a key is a pair in their order, 2 to
-  SPAN words apart. More than c shared terms always hold a single key or such a pair, so no list grows without bound;
+* for images that few records have, c is 0 and a list's key is a term. Where many share an image, or have none, a term that occurs at most RARE
+  times is rare, and a class whose terms listed for c = 0 are all rare has those as keys: the one it shares with a partner is rare for both;
+* any other class lists for c = 1. Its rare terms are keys by themselves; of the others, each two are a key, in their order of rarity, which is the
+  same in all texts. The two rarest shared terms hold a rare one or are such a key, so no pair is lost. Of two terms the first is never the last
+  listed one, so a template's own words are a key by themselves only for texts that differ from each other by no more than the limit's edits.
+  A key of a rare term has at most RARE rows. A key of two others has as many as texts that share both; its length has no bound of its own;
 * lists carry a 256-bit signature of all terms. Where two meet, more differing bits than texts over the limit can have rule a pair out at once;
 * candidates get their exact dot product, then the exact word edit distance.
 
@@ -39,8 +42,6 @@ SHARE = 0.2
 TAU = (1 - 2 * SHARE) / (1 - 2 * SHARE + 2 * SHARE * MAX_W2)
 #: A block (an image, or no image) of more rows than this gets keys of two terms.
 LARGE = 200
-#: Words that may lie between the two terms of a key; SPAN and c = n/8 fit each other: see _listed.
-SPAN = 48
 RARE = 2000
 _Q = 255 / (MAX_W2 - 1)
 
@@ -82,26 +83,23 @@ def _counts(rows: DataFrame) -> np.ndarray:
     return out
 
 
-def _listed(w2: np.ndarray, large: bool) -> int:
-    """How many of the terms, rare first, are listed. n words leave n+1 terms; a text of up to 32 has partners of up to 40 words, in
-    which any two terms are within SPAN; beyond, the n/8 shared terms hold n/16 disjoint stretches of two, whose lengths in both texts add
-    up to 2.25 n at most, so one is within SPAN in both."""
-    n = len(w2) - 1
+def _listed(w2: np.ndarray, c: int) -> int:
+    """How many of the terms, rare first, are listed, for more than c of them to be shared."""
     rest = np.cumsum(w2[::-1])[::-1]
-    c = 0 if not large else 2 if n <= 32 else -(-n // 8)
     return int(np.count_nonzero(rest + c * MAX_W2 >= TAU * rest[0] - 1e-6))
 
 
-def _keys(hashes: np.ndarray, at: np.ndarray, rare: np.ndarray) -> np.ndarray:
-    """List keys of the listed terms at these word positions."""
-    order = np.argsort(at[~rare])
-    h, p = hashes[~rare][order], at[~rare][order]
+def _keys(hashes: np.ndarray, rare: np.ndarray, w2: np.ndarray, large: bool) -> np.ndarray:
+    """Keys of the lists of a class, of its terms, rare first."""
+    k = _listed(w2, 0)
+    if not large or rare[:k].all():
+        return hashes[:k]
+    k = _listed(w2, 1)
+    h = hashes[:k][~rare[:k]]
     i, j = np.triu_indices(len(h), 1)
-    gap = p[j] - p[i]
-    ok = (gap >= 2) & (gap <= SPAN)
-    x = h[i[ok]] * np.uint64(0x9E3779B97F4A7C15) ^ h[j[ok]]
+    x = h[i] * np.uint64(0x9E3779B97F4A7C15) ^ h[j]
     x ^= x >> np.uint64(31)
-    return np.concatenate([hashes[rare], x * np.uint64(0xD6E8FEB86659FD93)])
+    return np.concatenate([hashes[:k][rare[:k]], x * np.uint64(0xD6E8FEB86659FD93)])
 
 
 def _signature(hashes: np.ndarray) -> np.ndarray:
@@ -133,10 +131,9 @@ def _vectors(classes: DataFrame, counts: np.ndarray) -> DataFrame:
                 h = np.array(hashes, np.uint64) << np.uint64(8) | q
                 order = np.lexsort((h, -q.astype(np.int64)))
                 h, n, w2 = h[order], n[order], 1 + q[order] / _Q
-                k = _listed(w2, large)
                 all_terms.append(h.view(np.int64))
                 norms.append(w2.sum())
-                keys.append((_keys(h[:k], order[:k], n[:k] <= RARE) if large else h[:k]).view(np.int64))
+                keys.append(_keys(h, n <= RARE, w2, large).view(np.int64))
                 sigs.append(_signature(h))
             yield b.drop(columns=["img", "large"]).assign(terms=all_terms, norm2=np.array(norms, np.float32), keys=keys, sig=sigs)
 

@@ -61,6 +61,34 @@ def test_overlap_agrees_with_brute_force(spark):
     assert overlap.row_pairs(*empty).count() == 0
 
 
+def test_overlap_of_templates(spark, monkeypatch):
+    """Texts without an image of one template, with more free words than the limit's edits, and longer ones: all near pairs of a sample, and no list of all texts."""
+    monkeypatch.setattr(overlap, "RARE", 40)
+    rng = random.Random(9)
+    noun = [f"noun{i}" for i in range(12)] + [f"odd{i}" for i in range(2500)]
+    pick = lambda: rng.choice(noun[:12] if rng.random() < 0.5 else noun)
+    make = lambda: f"what is the {pick()} color of the {pick()} that stands next to the {pick()} behind {pick()}".split()
+    tail = "it was said by many that the old road to the town had been closed for a long time when they came".split()
+    texts = [make() + (tail if i % 4 == 0 else []) for i in range(3000)]
+    for i in range(0, 3000, 3):
+        t = list(texts[rng.randrange(i + 1)])
+        for _ in range(rng.randint(0, 3)):
+            t[rng.randrange(len(t))] = pick()
+        texts[i] = t
+    rows = [(i, " ".join(t), None, None, TR if i % 2 else TE, "") for i, t in enumerate(texts)]
+    df = spark.createDataFrame(rows, ENTRY)
+    got_rows, pairs = overlap.overlaps(df)
+    got = {(r.row_id_a, r.row_id_b) for r in overlap.row_pairs(got_rows, pairs).collect()}
+    sample = rng.sample(range(0, 3000, 2), 12)
+    held = set(sample)
+    want = {(min(a, b), max(a, b)) for a in sample for b in range(1, 3000, 2) if abs(len(texts[a]) - len(texts[b])) <= 8 and overlap._near(" ".join(texts[a]), " ".join(texts[b]), 0.2) >= 0}
+    assert {(a, b) for a, b in got if a in held or b in held} == want and len(want) > 10
+    counts = overlap._counts(got_rows)
+    classes = got_rows.groupBy("cid").agg(F.first("img").alias("img"), F.first("norm").alias("norm"), F.lit(True).alias("train"), F.lit(True).alias("evals"), F.first("large").alias("large"))
+    lists = overlap._vectors(classes, counts).select(F.explode(F.array_distinct("keys")).alias("k")).groupBy("k").count()
+    assert lists.agg(F.max("count")).first()[0] < 750
+
+
 def test_splits(spark):
     src = lambda e, s: f'{{"entity_id": "{e}", "data_split": {s}}}'
     rows = [(i, None, None, src(f"Q{i % 50 + 10}", '"train"'), TR, "") for i in range(1000)]
