@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import uuid
 from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Callable, Iterator
 
 import pandas as pd
@@ -242,13 +243,18 @@ def _finder(items: list[list[str]], names: list[list[int]], share: float) -> Cal
     auto = Automaton(items)
     need = [max(1, -int(-share * len(x) // 1)) for x in items] or [1]
     seed = [seed_length(f) for f in need]
-    threes = [{*zip(x, x[1:], x[2:])} for x in items]
+    threes: dict[tuple[str, str, str], list[int]] = {}
+    for k, x in enumerate(items):
+        for g in {*zip(x, x[1:], x[2:])}:
+            threes.setdefault(g, []).append(k)
     left = [int(f * (1 - 3 * ERRORS)) - 2 for f in need]  # three-word strings that the errors leave of the words needed
     least = min(seed)
 
     def find(text: str | None) -> list[tuple[int, int, float, int, int]]:
-        doc, out = plain_words(text), []
+        doc, out, hits = plain_words(text), [], None  # hits: where three-word strings of each item are
         for k, runs in auto.runs(doc, least).items():
+            if max(runs.values()) < seed[k]:
+                continue
             item, got = items[k], []
             reach = len(item) + len(item) // 4
             for start, n in sorted(runs.items(), key=lambda x: (-x[1], x[0])):
@@ -258,8 +264,13 @@ def _finder(items: list[list[str]], names: list[list[int]], share: float) -> Cal
                     continue
                 if n < need[k]:
                     a, z = max(0, start - reach), start + n + reach
-                    near = zip(doc[a:z], doc[a + 1 : z], doc[a + 2 : z])
-                    if sum(map(threes[k].__contains__, near)) < left[k]:
+                    if hits is None:
+                        hits = {}
+                        for i, g in enumerate(zip(doc, doc[1:], doc[2:])):
+                            for other in threes.get(g, ()):
+                                hits.setdefault(other, []).append(i)
+                    own = hits.get(k, ())
+                    if bisect_right(own, z - 3) - bisect_left(own, a) < left[k]:
                         continue
                 best = best_stretch(doc, item, start, n)
                 if best[0] * len(item) >= need[k] and best not in got:
