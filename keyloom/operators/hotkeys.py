@@ -3,7 +3,8 @@
 Rows are range partitioned on the composite (key, record), with Spark's sampled quantiles as bounds, so a key that holds a tenth or a third
 of all rows is cut into as many partitions as its share asks for. Range partitioning on (key, record) already clusters by (key, record): the first
 aggregation needs no other exchange. It leaves one state per key and record; the second adds those up within each partition, and one
-state per key and partition (several only for keys that cross a bound) is sent on to be stitched.
+state per key and partition (several only for keys that cross a bound) is sent on to be stitched. Rows without a record would all share one value of the
+composite; they are told apart by a third column, as they count as rows only.
 """
 
 from __future__ import annotations
@@ -16,6 +17,8 @@ from keyloom.operators.aliases import final_entities
 from keyloom.storage import materialize
 
 SPLITS = ("train", "val", "test")
+#: Parts that a key's rows without a record may be cut into.
+LOOSE = 1024
 
 
 def per_key(rows: DataFrame, keys: list[str], record: str, split: Column, partitions: int | None = None) -> DataFrame:
@@ -24,7 +27,8 @@ def per_key(rows: DataFrame, keys: list[str], record: str, split: Column, partit
     Rows with a null key are left out; rows with a null record count as rows only; an empty table gives no rows; other columns are not read.
     """
     spread = rows.select(*keys, F.col(record).alias("_record"), split.alias("_split")).dropna(subset=keys)
-    by = [*keys, "_record"]
+    nth = F.when(F.col("_record").isNull(), F.pmod(F.monotonically_increasing_id(), F.lit(LOOSE))).otherwise(F.lit(0)).cast("int")
+    spread, by = spread.withColumn("_nth", nth), [*keys, "_record", "_nth"]
     spread = spread.repartitionByRange(*([partitions] if partitions else []), *by)
     count = lambda s: F.count(F.when(F.col("_split") == s, 1)).alias(f"n_{s}")
     states = spread.groupBy(*by).agg(F.count("*").alias("n_rows"), *(count(s) for s in SPLITS))

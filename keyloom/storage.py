@@ -32,8 +32,10 @@ def materialize(df: DataFrame, name: str = "table") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _drop_all() -> None:
-    for spark, path in _written:
+def drop_written() -> None:
+    """Delete all tables that materialize wrote: in a long session, once the results made from them are written. Runs at exit too."""
+    while _written:
+        spark, path = _written.pop()
         try:
             p = spark._jvm.org.apache.hadoop.fs.Path(path)
             p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
@@ -41,4 +43,4 @@ def _drop_all() -> None:
             return
 
 
-atexit.register(_drop_all)
+atexit.register(drop_written)
