@@ -160,3 +160,13 @@ def configured(config: dict, name: str, default: object = None) -> object:
             return default
         config = config[part]
     return config
+
+
+def ramp(step: Column, warmup: int, length: int) -> Column:
+    """0 until warmup, then up to 1 over so many steps."""
+    return F.least(F.greatest((step - warmup) / float(max(1, length)), F.lit(0.0)), F.lit(1.0))
+
+
+def mask_ratio(r: Column) -> Column:
+    """The share of positions that stay open after a share r of the steps: the cosine of a quarter turn."""
+    return F.cos(F.lit(1.5707963267948966) * r)

@@ -103,7 +103,8 @@ def leaves(index: DataFrame, depth: int) -> DataFrame:
 
 def continuations(index: DataFrame, depth: int, span: int) -> DataFrame:
     """codes (a stored prefix of that depth), next: its distinct stored continuations of `span` codes, in chunks of about CHUNK."""
-    rows = index.select(F.slice("codes", 1, depth).alias("codes"), F.slice("codes", depth + 1, span).alias("s")).distinct()
+    rows = index.select(F.slice("codes", 1, depth).alias("codes"), F.slice("codes", depth + 1, span).alias("s"), (F.size("codes") > depth + span).alias("longer"))
+    rows = rows.where("longer").select("codes", "s").distinct().unionByName(rows.where("not longer").select("codes", "s"))  # whole keys are distinct
     n = rows.groupBy("codes").agg(F.count("*").alias("n"))
     rows = rows.join(n, "codes").withColumn("chunk", F.pmod(F.xxhash64("s"), F.ceil(F.col("n") / CHUNK)))
     return rows.groupBy("codes", "chunk").agg(F.collect_list("s").alias("next")).drop("chunk")
@@ -306,6 +307,64 @@ def legal_codes(prefixes: DataFrame, index: DataFrame, depth: int, width: int, s
     return prefixes.join(known, "codes", "left").withColumn("next", F.coalesce("next", none))
 
 
+def position_scores(beams: DataFrame, queries: DataFrame, books: Books) -> DataFrame:
+    """qid, codes, at, score: what each code of a key scores by the query alone, without the codes before it."""
+    sent = beams.sparkSession.sparkContext.broadcast(books)
+    rows = beams.select("qid", "codes").join(queries.select(F.col("vec_id").alias("qid"), "embedding"), "qid")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            codes, r = _matrix(b.column(1), np.int64), _matrix(b.column(2))
+            at = np.arange(len(codes))
+            score = np.stack([sent.value.logp(r, k)[at, codes[:, k]] for k in range(codes.shape[1])], axis=1)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(score, pa.float64())], names=["qid", "codes", "scores"])
+
+    got = rows.select("qid", "codes", "embedding").mapInArrow(run, "qid bigint, codes array<int>, scores array<double>")
+    return got.select("qid", "codes", F.posexplode("scores").alias("at", "score"))
+
+
+def refined(scores: DataFrame, fraction: float) -> DataFrame:
+    """qid, codes, kept: the key with the surest part of its positions, rounded up, and null where a position is open again; equals by position."""
+    w = Window.partitionBy("qid", "codes").orderBy(F.desc("score"), "at")
+    ranked_ = scores.withColumn("n", F.row_number().over(w)).withColumn("open", F.col("n") > F.ceil(F.size("codes") * fraction))
+    one = F.struct("at", F.when(~F.col("open"), F.element_at("codes", F.col("at") + 1)).alias("c"))
+    return ranked_.groupBy("qid", "codes").agg(F.transform(F.array_sort(F.collect_list(one)), lambda s: s["c"]).alias("kept"))
+
+
+def sampled_code(gains: DataFrame, by: str, code: str, score: str, seed: str, temperature: float = 1.0) -> DataFrame:
+    """by, code: one code for each group, drawn with the probabilities that the scores give: the largest of score plus Gumbel noise of a hash of seed, group and code.
+    A temperature of 0 takes the best."""
+    digest = F.md5(F.concat_ws("|", F.lit(seed), F.col(by).cast("string"), F.col(code).cast("string")))
+    u = (F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") + 0.5) / 4294967296.0
+    noisy = F.col(score) if temperature == 0 else F.col(score) / temperature - F.log(-F.log(u))
+    return gains.groupBy(by).agg(F.max_by(code, F.struct(noisy.alias("s"), -F.col(code))).alias(code))
+
+
+def positive_children(paths: DataFrame, levels: int) -> DataFrame:
+    """qid, depth, prefix, next: for each query's distinct right keys, the codes that lead on to one after each of their prefixes."""
+    at = paths.select("qid", "codes").distinct().select("qid", "codes", F.explode(F.sequence(F.lit(0), F.lit(levels - 1))).alias("depth"))
+    step = at.select("qid", "depth", F.slice("codes", F.lit(1), F.col("depth")).alias("p"), F.get("codes", F.col("depth")).alias("token")).distinct()
+    return step.groupBy("qid", "depth", "p").agg(F.array_sort(F.collect_list("token")).alias("next")).select("qid", "depth", code_text(F.col("p")).alias("prefix"), "next")
+
+
+def branch_records(paths: DataFrame, index: DataFrame, levels: int, n: int, seed: str) -> DataFrame:
+    """qid, depth, child: beside each step of each right key up to n other stored codes, by a seeded shuffle that is one for all queries; each once."""
+    parts = []
+    for d in range(levels):
+        kids = index.select(F.slice("codes", 1, d).alias("p"), F.slice("codes", 1, d + 1).alias("c")).distinct().withColumn("child", code_text(F.col("c"))).withColumn("o", F.md5(F.concat(F.lit(seed), "child")))
+        few = kids.withColumn("r", F.row_number().over(Window.partitionBy("p").orderBy("o", "child"))).where(F.col("r") <= n + 1)
+        own = paths.select("qid", F.slice("codes", 1, d).alias("p"), F.slice("codes", 1, d + 1).alias("own")).distinct()
+        got = own.join(few, "p").where("own <> c")
+        got = got.withColumn("r", F.row_number().over(Window.partitionBy("qid", "own").orderBy("o", "child"))).where(F.col("r") <= n)
+        parts.append(got.select("qid", F.lit(d).alias("depth"), "child").distinct())
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
 def trained_books(vectors: DataFrame, levels: int, width: int, seed: int = 7, rounds: int = 20) -> Books:
     """Codebooks by k-means on the residuals of each level, over all vectors; a codeword that no vector needs stays missing."""
     from pyspark.ml.clustering import KMeans

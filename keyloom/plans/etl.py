@@ -385,3 +385,11 @@ def beam_shapes(e):
     """Lists of K times L codes as K rows of L."""
     rows = e.where(F.size("pos_cand_list") >= 2).select("row_id", "pos_cand_list", F.explode(F.expr("sequence(0L, size(pos_cand_list) div 2 - 1L)")).alias("beam"))
     return rows.select("row_id", "beam", F.array_join(F.slice("pos_cand_list", (F.col("beam") * 2 + 1).cast("int"), F.lit(2)), ",").alias("code"))
+
+
+@_query("WITH g AS (SELECT did, row_id FROM cand_pool UNION ALL SELECT did, row_id FROM cand_pool WHERE row_id % 9 = 0) SELECT (SELECT count(*) FROM (SELECT DISTINCT did, row_id FROM g)) AS trimmed, (SELECT count(DISTINCT row_id) FROM g) AS ids, (SELECT count(*) FROM (SELECT DISTINCT did, row_id FROM g)) = (SELECT count(DISTINCT row_id) FROM g) AS unique_ids", "cand_pool")
+def gathered_rows(c):
+    """Gathered parts, of which some repeat rows as padding: trimmed, and whether ids are then unique."""
+    rows = c.select("did", "row_id")
+    g = r.first_of_each(rows.unionByName(rows.where("row_id % 9 = 0")), ["did", "row_id"], ["row_id"])
+    return g.agg(F.count("*").alias("trimmed"), F.countDistinct("row_id").alias("ids")).withColumn("unique_ids", F.col("trimmed") == F.col("ids"))

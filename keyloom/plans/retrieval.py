@@ -25,7 +25,7 @@ class World:
     """The tables of one query, each made when first asked for."""
 
     def __init__(self, spark: SparkSession, sf: str, **books):
-        self.spark, self.v = spark, spark.read.parquet(f"{sf}/embeddings.parquet")
+        self.spark, self.sf, self.v = spark, sf, spark.read.parquet(f"{sf}/embeddings.parquet")
         self.q, self.c = self.v.where("vec_id % 10 = 0"), self.v.where("vec_id % 10 <> 0")
         self.books = search.load_books(self.v, **books)
         self._coded = self._index = None
@@ -58,6 +58,10 @@ class World:
         asks = self.q.select(F.col("vec_id").alias("qid"), F.col("label").alias("l"), F.posexplode(near).alias("pos", "did"))
         return asks.join(self.v.select(F.col("vec_id").alias("did"), F.col("label").alias("l")), ["did", "l"]).select("qid", "pos", "did")
 
+    def judged_paths(self) -> DataFrame:
+        """qid, codes: the distinct keys of each query's judged candidates."""
+        return self.judged().join(self.coded.select(F.col("vec_id").alias("did"), "codes"), "did").select("qid", "codes").distinct()
+
     def same_label(self, pairs: DataFrame) -> DataFrame:
         """The pairs (qid, did) of one label: the labels are joined to what was found, so no pair is made for it."""
         label = lambda k: self.v.select(F.col("vec_id").alias(k), F.col("label").alias("l"))
@@ -313,6 +317,30 @@ def search_levelwise(w):
     return _beams(w.beams(spans=[1, 2], prefix_width=4, levelwise=True))
 
 
+_PROJECTED = (
+    ", q0 AS (SELECT qid, e AS r FROM q)," + _lp("l0", "q0", 0, "qid") + "," + _lp("l1", "q0", 1, "qid") + "," + _lp("l2", "q0", 2, "qid")
+    + f", f1 AS (SELECT qid, a, '<a' || a || '>' AS code, lp AS s FROM l0 JOIN ({_STORED['a']}) x ON c = a QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, code) <= 8)"
+    + f", f2 AS (SELECT * FROM (SELECT f1.qid, a, x.b, f1.code || '<b' || x.b || '>' AS code, f1.s + lp AS s FROM f1 JOIN ({_STORED['b']}) x USING (a) JOIN l1 ON l1.qid = f1.qid AND l1.c = x.b) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, code) <= 8)"
+    + f", beams AS (SELECT * FROM (SELECT f2.qid, x.code, f2.s + lp AS s FROM f2 JOIN ({_STORED['d']}) x USING (a, b) JOIN l2 ON l2.qid = f2.qid AND l2.c = x.d) QUALIFY row_number() OVER (PARTITION BY qid ORDER BY s DESC, code) <= 8)"
+)
+
+
+@_query(_BASE + _PROJECTED + _OUT)
+def search_projected(w):
+    """One prediction of all levels, projected onto the index level by level."""
+    return _beams(w.beams(spans=[3], levelwise=True))
+
+
+@_query(
+    _BASE + _ONE + ", s AS (SELECT b.qid, b.code, f.a, f.b, f.d, l0.lp AS x0, l1.lp AS x1, l2.lp AS x2 FROM beams b JOIN leaf f USING (code) JOIN l0 ON l0.qid = b.qid AND l0.c = f.a JOIN l1 ON l1.qid = b.qid AND l1.c = f.b JOIN l2 ON l2.qid = b.qid AND l2.c = f.d)"
+    " SELECT qid, code, CASE WHEN x0 < least(x1, x2) THEN '?' ELSE a::VARCHAR END || ',' || CASE WHEN x1 < x2 AND x1 <= x0 THEN '?' ELSE b::VARCHAR END || ',' || CASE WHEN x2 <= x0 AND x2 <= x1 THEN '?' ELSE d::VARCHAR END AS kept FROM s"
+)
+def refined_keys(w):
+    """Keys of the one-pass search with the surest two of three positions, the other open again."""
+    got = search.refined(search.position_scores(w.beams(spans=[3]), w.q, w.books), 0.6)
+    return got.select("qid", keys.code_text(F.col("codes")).alias("code"), F.array_join(F.transform("kept", lambda c: F.coalesce(c.cast("string"), F.lit("?"))), ",").alias("kept"))
+
+
 @_query(_BASE + sequential(stored=False) + _OUT)
 def search_tokens(w):
     """Without an index: every code of a level is legal."""
@@ -485,6 +513,41 @@ def code_gains(w):
     return keys.code_gains(w.q, w.books.words[0])
 
 
+_U = "((('0x' || md5('3|' || qid || '|' || c)[1:8])::BIGINT + 0.5::DOUBLE) / 4294967296.0::DOUBLE)"
+
+
+@_query(_BASE + _GAINS + f" SELECT qid, arg_max(c, (gain / 0.5 - ln(-ln({_U})), -c)) AS code FROM g GROUP BY qid")
+def sampled_codes(w):
+    """One first code a query, drawn by its probabilities at half the temperature."""
+    return search.sampled_code(keys.code_gains(w.q, w.books.words[0], None), "qid", "code", "gain", "3", 0.5)
+
+
+@_query("SELECT event_id, least(greatest((event_id - 100) / 400.0::DOUBLE, 0), 1) AS ramp, round(cos(pi() / 2 * (event_id % 100) / 100), 6) AS open_share FROM events")
+def schedules(w):
+    from keyloom.functions.text import mask_ratio, ramp
+
+    e = w.spark.read.parquet(f"{w.sf}/events.parquet")
+    return e.select("event_id", ramp(F.col("event_id"), 100, 400).alias("ramp"), F.round(mask_ratio(F.col("event_id") % 100 / 100), 6).alias("open_share"))
+
+
+_PATHS = ", paths AS (SELECT DISTINCT j.qid, a, b, d, code FROM j JOIN cands c ON c.vec_id = j.did)"
+
+
+@_query(_BASE + _PATHS + ", s AS (SELECT DISTINCT qid, 0 AS depth, '' AS prefix, a AS t FROM paths UNION SELECT qid, 1, '<a' || a || '>', b FROM paths UNION SELECT qid, 2, '<a' || a || '><b' || b || '>', d FROM paths) SELECT qid, depth, prefix, string_agg(t::VARCHAR, ',' ORDER BY t) AS next FROM s GROUP BY qid, depth, prefix")
+def positive_children(w):
+    """The codes that lead on to a judged item's key, after each of its prefixes."""
+    return search.positive_children(w.judged_paths(), w.books.levels).withColumn("next", F.array_join("next", ","))
+
+
+@_query(
+    _BASE + _PATHS + ", own AS (SELECT DISTINCT qid, 0 AS depth, '' AS prefix, '<a' || a || '>' AS child FROM paths UNION SELECT qid, 1, '<a' || a || '>', '<a' || a || '><b' || b || '>' FROM paths UNION SELECT qid, 2, '<a' || a || '><b' || b || '>', code FROM paths),"
+    " n AS (SELECT own.qid, own.depth, edge.child, row_number() OVER (PARTITION BY own.qid, own.child ORDER BY md5('9' || edge.child), edge.child) AS r FROM own JOIN edge ON edge.depth = own.depth AND edge.prefix = own.prefix AND edge.child <> own.child) SELECT DISTINCT qid, depth, child FROM n WHERE r <= 2"
+)
+def branch_records(w):
+    """Two other stored children beside each step of each judged key."""
+    return search.branch_records(w.judged_paths(), w.index, w.books.levels, 2, "9")
+
+
 @_query(_BASE + _GAINS + ", z AS (SELECT qid, c, (gain - avg(gain) OVER p) / greatest(stddev_pop(gain) OVER p, 1e-6) AS z FROM g WINDOW p AS (PARTITION BY qid)) SELECT qid, a AS code, round(z, 5) AS z FROM z JOIN coded ON vec_id = qid AND a = c")
 def selected_gain(w):
     """The z of the one chosen code by query, from the codebook's moments alone."""
