@@ -15,6 +15,8 @@ from keyloom.operators.records import numbered
 
 #: Queries of one broadcast block of an exact search.
 QUERY_BLOCK = 16_384
+#: Scores that a task of an exact search holds at a time.
+SCORES_MOST = 1 << 22
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -303,7 +305,7 @@ def exact_top(queries: DataFrame, rows: DataFrame, k: int, other: str | None = N
     """qid, rank, did, score: the k rows of the largest inner product with each query, other than itself; equals by the smaller id.
 
     other: only rows that differ from the query in this column. The query set is broadcast in blocks of about QUERY_BLOCK; each task scans its rows once a
-    block and sends on its own k best of each query.
+    block, SCORES_MOST scores at a time, and sends on what is as good as the k best that it has seen.
     """
     spark = queries.sparkSession
     blocks = max(1, -(-queries.count() // QUERY_BLOCK))
@@ -318,18 +320,20 @@ def exact_top(queries: DataFrame, rows: DataFrame, k: int, other: str | None = N
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             ids, y, groups = sent.value
+            best = np.full((len(ids), k), -np.inf)  # values of the best so far
             for b in batches:
-                if not b.num_rows:
-                    continue
-                did = b.column(0).to_numpy()
-                s = y @ _vectors_of(b, 1).T
-                s[ids[:, None] == did[None]] = -np.inf
-                if other:
-                    s[groups[:, None] == np.array(b.column(2).to_pylist(), object)[None]] = -np.inf
-                n = min(k, s.shape[1])
-                least = np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n]
-                r, c = np.nonzero((s >= least[:, None]) & np.isfinite(s))
-                yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(did[c]), pa.array(s[r, c])], names=["qid", "did", "score"])
+                for at in range(0, b.num_rows, size := max(1, SCORES_MOST // len(ids))):
+                    part = b.slice(at, size)
+                    did = part.column(0).to_numpy()
+                    s = y @ _vectors_of(part, 1).T
+                    s[ids[:, None] == did[None]] = -np.inf
+                    if other:
+                        s[groups[:, None] == np.array(part.column(2).to_pylist(), object)[None]] = -np.inf
+                    n = min(k, s.shape[1])
+                    both = np.concatenate([best, np.partition(s, s.shape[1] - n, axis=1)[:, s.shape[1] - n :]], axis=1)
+                    best = np.partition(both, n, axis=1)[:, n:]
+                    r, c = np.nonzero((s >= best.min(axis=1)[:, None]) & np.isfinite(s))
+                    yield pa.RecordBatch.from_arrays([pa.array(ids[r]), pa.array(did[c]), pa.array(s[r, c])], names=["qid", "did", "score"])
 
         parts.append(rows.select("vec_id", "embedding", group.alias("g")).mapInArrow(run, "qid bigint, did bigint, score double"))
     every = parts[0] if parts else spark.createDataFrame([], "qid bigint, did bigint, score double")
