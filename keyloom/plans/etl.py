@@ -101,17 +101,24 @@ _ANSWER = "regexp_extract(query_txt, '([A-Za-z]{5,})[^A-Za-z]*$', 1)"
     "mbeir_entry", "cand_pool",
 )
 def answer_passages(e, c):
-    """Per record, its entity's passages with and without the answer (here the question's last long word).
+    """Per record, its entity's passages with and without the answer (here the question's last long word), as a part of the text.
 
-    Records of one entity and answer are one row in the join, so an entity of many records meets its passages once an answer.
+    No record meets its entity's passages one by one: an answer of letters lies within one run of letters, so answers meet the pieces of the distinct runs of
+    all passages, and what a passage holds is counted by entity and answer.
     """
     answer = F.regexp_extract("query_txt", "([A-Za-z]{5,})[^A-Za-z]*$", 1)
     q = _entities(e).select("row_id", "entity", answer.alias("answer")).where("entity is not null and answer <> ''")
-    p = _passages(c).where("txt is not null").select("entity", "did", "txt").distinct()
-    hit = x.contains_answer(F.col("txt"), F.array("answer"))
-    one = q.select("entity", "answer").distinct().join(p, "entity")
-    n = one.groupBy("entity", "answer", "did").agg(F.max(hit).alias("some"), F.min(hit).alias("all")).groupBy("entity", "answer").agg(F.count(F.when(F.col("some"), 1)).alias("pos"), F.count(F.when(~F.col("all"), 1)).alias("neg"))
-    return q.join(n, ["entity", "answer"]).select("row_id", "pos", "neg")
+    asked = q.select("entity", "answer").distinct()
+    p = _passages(c).where("txt is not null").select("entity", "did", F.md5("txt").alias("t"), "txt").where("entity is not null")
+    texts = p.select("entity", "did", "t").distinct().groupBy("entity", "did").agg(F.count("*").alias("texts"))
+    runs = p.select("entity", "did", "t", F.explode(F.array_distinct(F.regexp_extract_all("txt", F.lit("[A-Za-z]{5,}"), 0))).alias("run"))
+    part = F.expr("explode(array_distinct(flatten(transform(sequence(1, length(run) - 4), i -> transform(sequence(5, length(run) - i + 1), n -> substring(run, i, n))))))")
+    known = runs.select("run").distinct().select("run", part.alias("answer")).join(asked.select("answer").distinct(), "answer")
+    hits = runs.join(known, "run").join(asked, ["entity", "answer"], "left_semi").groupBy("entity", "answer", "did").agg(F.countDistinct("t").alias("k"))
+    held = hits.join(texts, ["entity", "did"]).groupBy("entity", "answer").agg(F.count("*").alias("pos"), F.count(F.when(F.col("k") == F.col("texts"), 1)).alias("whole"))
+    total = texts.groupBy("entity").agg(F.count("*").alias("dids"))
+    got = q.join(total, "entity").join(held, ["entity", "answer"], "left")
+    return got.select("row_id", F.coalesce("pos", F.lit(0)).alias("pos"), (F.col("dids") - F.coalesce("whole", F.lit(0))).alias("neg"))
 
 
 @_query(f"WITH {_E}, {_C}, t AS (SELECT entity, arg_min(title, row_id) AS title, count(DISTINCT did) AS dids FROM c WHERE entity IS NOT NULL GROUP BY entity) SELECT e.row_id, e.entity, t.title, coalesce(dids, 0) AS dids FROM e LEFT JOIN t USING (entity) WHERE entity IS NOT NULL", "mbeir_entry", "cand_pool")
@@ -147,14 +154,16 @@ def chunk_starts(c):
     return c.groupBy("pool_file").agg(F.count("*").alias("n")).withColumn("begins", F.coalesce(F.sum("n").over(before), F.lit(0)))
 
 
-@_query(f"WITH {_C}, p AS (SELECT DISTINCT row_id, trim(unnest(pos_cand_list)) AS did FROM mbeir_entry WHERE query_file LIKE '%mbeir_oven%'), w AS (SELECT did, entity FROM c QUALIFY row_number() OVER (PARTITION BY did ORDER BY row_id) = 1), i AS (SELECT DISTINCT entity, did AS passage FROM c WHERE pool_file LIKE '%mbeir_infoseek%') SELECT DISTINCT p.row_id, passage FROM p JOIN w USING (did) JOIN i USING (entity)", "mbeir_entry", "cand_pool")
+@_query(f"WITH {_C}, p AS (SELECT DISTINCT row_id, trim(unnest(pos_cand_list)) AS did FROM mbeir_entry WHERE query_file LIKE '%mbeir_oven%'), w AS (SELECT did, entity FROM c QUALIFY row_number() OVER (PARTITION BY did ORDER BY row_id) = 1), i AS (SELECT DISTINCT entity, did AS passage FROM c WHERE pool_file LIKE '%mbeir_infoseek%'), n AS (SELECT entity, count(*) AS passages, min(passage) AS first_passage FROM i GROUP BY entity) SELECT DISTINCT p.row_id, w.entity, passages, first_passage FROM p JOIN w USING (did) JOIN n USING (entity)", "mbeir_entry", "cand_pool")
 def same_entity_passages(e, c):
-    """For the positives of one dataset, the other dataset's passages of the same entity, each once a record."""
+    """For the positives of one dataset, their entity and how many passages the other dataset has of it: record and passages meet in the entity, so a hot entity's
+    pairs aren't spelled out."""
     all_c = _passages(c)
     own = r.first_of_each(all_c.select("row_id", "did", "entity"), ["did"], ["row_id"]).drop("row_id")
     other = all_c.where(F.col("pool_file").contains("mbeir_infoseek")).select("entity", F.col("did").alias("passage")).distinct()
     refs = r.positives(e.where(F.col("query_file").contains("mbeir_oven"))).select("row_id", "did").distinct()
-    return refs.join(own, "did").select("row_id", "entity").distinct().join(other, "entity").select("row_id", "passage").distinct()
+    n = other.groupBy("entity").agg(F.count("*").alias("passages"), F.min("passage").alias("first_passage"))
+    return refs.join(own, "did").select("row_id", "entity").distinct().join(n, "entity").select("row_id", "entity", "passages", "first_passage")
 
 
 @_query(f"WITH f AS (SELECT row_id, query_modality, trim(pos_cand_list[1]) AS did FROM mbeir_entry WHERE len(pos_cand_list) > 0), m AS (SELECT f.*, coalesce(s.modality, c.modality) AS modality FROM f LEFT JOIN {_FIRST.format(t='cand_pool')} c USING (did) LEFT JOIN {_FIRST.format(t='cand_pool_shared')} s USING (did)) SELECT row_id, CASE modality WHEN 'text' THEN 'text' WHEN 'image,text' THEN 'image,text' WHEN 'image' THEN 'image' ELSE 'unknown' END AS route FROM m", "mbeir_entry", "cand_pool", "cand_pool_shared")
